@@ -1,14 +1,18 @@
 """The registered queries of the training-data operators, each over its whole table."""
 
-from . import bitpack, fingerprints, packing, pieces, privacy, toxicity
+from . import bitpack, fingerprints, html, packing, pieces, privacy, repeats, setjoin, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_embedding_near_dedup": vectors.op3_embedding_near_dedup,
     "op4_private_spans": privacy.op4_private_spans,
+    "op5_main_text": html.op5_main_text,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_files": bitpack.op8_token_files,
+    "op9_repeated_passages": repeats.op9_repeated_passages,
+    "op10_ngram_join": setjoin.op10_ngram_join,
 }
 
 #: SQL that DuckDB can run over whole tables; the other operators are tested against brute force in tests/llm.
