@@ -167,7 +167,7 @@ def sanitise(documents: DataFrame, alpha: float = ALPHA, support: int = SUPPORT)
     terms = disclosing(found, docs, alpha, support)
     extra = _with_terms(found, ["row"], terms)
     names = documents.columns
-    both = documents.withColumn("__row", F.sha2("text", 256)).join(extra.withColumnRenamed("row", "__row"), "__row", "left").select(*names, F.col("extra").alias("__extra"))
+    both = documents.withColumn("__row", F.sha2("text", 256)).join(extra.select(F.col("row").alias("__row"), F.col("extra").alias("__extra")), "__row", "left").select(*names, "__extra")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def clean(batches):

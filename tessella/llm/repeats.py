@@ -146,13 +146,12 @@ def _text_key(data: bytes) -> int:
 
 
 def _window_hashes(seg: bytes, off: int, width: int) -> np.ndarray:
-    """Hashes of a run's windows, by left extension from 0: window x begins x bytes left of the anchor, which is at off."""
+    """Hashes of a run's windows, the last one first: a window begins x = off - (its start) bytes left of the anchor."""
     x = np.frombuffer(seg, np.uint8)
     up, down = _powers(len(x) + 1)
     c = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(_BYTES[x] * up[: len(x)], out=c[1:])
-    starts = np.arange(off, off - (len(x) - width) - 1, -1)
-    starts = starts[(starts >= 0) & (starts + width <= len(x))]
+    starts = np.arange(len(x) - width, -1, -1)
     return mix64((c[starts + width] - c[starts]) * down[starts] ^ (off - starts).astype(np.uint64) * _BYTES[11])
 
 
@@ -303,7 +302,7 @@ def _large_groups(segs: DataFrame, width: int) -> DataFrame:
                 h = full & np.uint64(bits - 1)
                 hit = (twice[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                first = off - (len(seg) - width) if off > len(seg) - width else 0  # the least left extension of the run's windows
+                first = off - (len(seg) - width)  # the least left extension of the run's windows
                 for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     rows.append((a, r, first + lo, first + hi - 1, int(np.add.reduce(full[lo:hi] * (np.arange(lo, hi).astype(np.uint64) * np.uint64(2) + np.uint64(1))).view(np.int64)), full[lo:hi].view(np.int64).tolist()))
             cols = list(zip(*rows)) or [[]] * 6

@@ -196,7 +196,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with score double and predicted int. The model is a few kilobytes."""
+    """documents with score double and predicted int (columns of these names are replaced). The model is a few kilobytes."""
+    documents = documents.drop("score", "predicted")
     sent = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     extra = "score double, predicted int"
