@@ -20,20 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import table
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-def _hashes(points: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all substrings of a length in rows of code points."""
-    n = points.shape[1] - length + 1
-    h = np.zeros((points.shape[0], n), np.uint64)
-    for k in range(length):
-        h = h * _BASE + (points[:, k : k + n].astype(np.uint64) + np.uint64(1))
-    return mix64(h ^ np.uint64(length))
+_BITS = 20
+
+
+def _finish(raw: np.ndarray, length: int) -> np.ndarray:
+    h = (raw ^ np.uint64(length * 0x9E3779B1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def _substrings(points: np.ndarray, most: int):
+    """For each length up to most, the hashes of all substrings of that length in rows of code points."""
+    points = points.astype(np.uint64) + np.uint64(1)
+    raw = np.zeros_like(points)
+    for k in range(1, most + 1):
+        n = points.shape[1] - k + 1
+        raw = raw[:, :n] * _BASE + points[:, k - 1 : k - 1 + n]
+        yield k, _finish(raw, k)
+
+
+def _hash(text: str) -> int:
+    for k, h in _substrings(np.array([[ord(c) for c in text]]), len(text)):
+        pass
+    return h[0, 0]
 
 
 class Pieces:
@@ -48,11 +63,13 @@ class Pieces:
         self.control = {i for i, k in enumerate(kinds) if k == 3}
         self.longest = max((len(pieces[i]) for i in own), default=1)
         self.crossing = any(SPACE in pieces[i].lstrip(SPACE) for i in own)
-        keys = np.array([_hashes(np.array([[ord(c) for c in pieces[i]]]), len(pieces[i]))[0, 0] for i in own], np.uint64)
+        keys = np.array([_hash(pieces[i]) for i in own], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(own, np.int64)[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << _BITS, bool)  # a small filter before the search
+        self.maybe[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.scores = np.array([scores[i] for i in own], np.float64)[order]
         self.table = {pieces[i]: (scores[i], i) for i in own}
         self.floor = (min(scores[i] for i in own) if own else 0.0) - 10.0
@@ -69,21 +86,20 @@ class Pieces:
             raise ValueError("only models with identity normalisation are supported")
         return cls([p.piece for p in m.pieces], [p.score for p in m.pieces], [p.type for p in m.pieces], m.trainer_spec.model_type == 1, norm.add_dummy_prefix)
 
-    def _probe(self, points: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        h = _hashes(points, length)
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[k] == h
-        return np.where(hit, self.scores[k], -np.inf), np.where(hit, self.ids[k], -1)
-
     def _rows(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length."""
         n, size = len(words), len(words[0])
-        points = np.array([[ord(c) for c in w] for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size)
         most = min(self.longest, size)
-        score = np.full((most + 1, n, size), -np.inf)
-        ident = np.full((most + 1, n, size), -1, np.int64)
-        for k in range(1, most + 1):
-            score[k, :, : size - k + 1], ident[k, :, : size - k + 1] = self._probe(points, k)
+        score = np.full((most + 1, n, size), -np.inf, np.float32 if not self.unigram else np.float64)
+        ident = np.full((most + 1, n, size), -1, np.int32)
+        for k, h in _substrings(points, most):
+            r, c = np.nonzero(self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+            own = h[r, c]
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = self.keys[at] == own
+            r, c, at = r[hit], c[hit], at[hit]
+            score[k, r, c], ident[k, r, c] = self.scores[at], self.ids[at]
         rows = np.arange(n)
         if self.unigram:
             score[1] = np.where(np.isinf(score[1]), self.floor, score[1])
@@ -105,34 +121,50 @@ class Pieces:
                 start[rows[live], end[live]] = True
                 span[rows[live], end[live]] = k
         else:
-            stop = np.tile(np.arange(1, size + 1), (n, 1))  # of the symbol that starts here
-            start = np.ones((n, size), bool)
-            live = rows
-            while len(live) and size > 1:
-                a = stop[live]
-                b = np.where(a < size, np.take_along_axis(a, np.minimum(a, size - 1), 1), 0)
-                length = b - np.arange(size)
-                ok = start[live] & (length > 0) & (length <= most)
-                s = np.where(ok, score[np.where(ok, length, 0), live[:, None], np.arange(size)[None, :]], -np.inf)
-                at = s.argmax(1)
-                hit = s[np.arange(len(live)), at] > -np.inf
-                live, at, a, b = live[hit], at[hit], a[hit], b[hit]
-                mid = a[np.arange(len(live)), at]
-                start[live, mid] = False
-                stop[live, at] = b[np.arange(len(live)), at]
-            span = np.where(start, stop - np.arange(size), 0)
-        out = []
-        spans, got = span.tolist(), ident
-        for r, w in enumerate(words):
-            ids, at = [], 0
-            while at < size:
-                k = spans[r][at]
-                i = int(got[k, r, at])
-                ids += [i] if i >= 0 else self._unknown(w[at : at + k])
-                at += k
-            out.append(ids)
+            span = self._merge(score, n, size, most)
+        rows_at, cols = np.nonzero(span)
+        ids = ident[span[rows_at, cols], rows_at, cols]
+        ends = np.searchsorted(rows_at, rows, "right")
+        if (ids >= 0).all():
+            flat = ids.tolist()
+            return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        out = [[] for _ in words]
+        for r, c, i, k in zip(rows_at.tolist(), cols.tolist(), ids.tolist(), span[rows_at, cols].tolist()):
+            out[r] += [i] if i >= 0 else self._unknown(words[r][c : c + k])
         return out
 
+    def _merge(self, score: np.ndarray, n: int, size: int, most: int) -> np.ndarray:
+        """The lengths of the symbols left, at their starts, after every word has merged its best pair again and again."""
+        stop = np.tile(np.arange(1, size + 1, dtype=np.int64), (n, 1))  # of the symbol that starts here
+        before = np.tile(np.arange(-1, size - 1, dtype=np.int64), (n, 1))
+        start = np.ones((n, size), bool)
+        pair = np.full((n, size), -np.inf, np.float32)  # of the symbol that starts here and the next
+        if most > 1:
+            pair[:, : size - 1] = score[2, :, : size - 1]
+        live = np.arange(n)
+        while len(live):
+            own = pair[live]
+            at = own.argmax(1)  # the leftmost among equals
+            hit = own[np.arange(len(live)), at] > -np.inf
+            live, at = live[hit], at[hit]
+            mid = stop[live, at]
+            end = stop[live, mid]
+            stop[live, at] = end
+            start[live, mid] = False
+            pair[live, mid] = -np.inf
+            inner = end < size
+            before[live[inner], end[inner]] = at[inner]
+            right = np.where(inner, stop[live, np.where(inner, end, 0)] - at, 0)
+            ok = inner & (right <= most)
+            pair[live, at] = np.where(ok, score[np.where(ok, right, 0), live, at], -np.inf)
+            left = before[live, at]
+            has = left >= 0
+            r, c = live[has], left[has]
+            length = end[has] - c
+            ok = length <= most
+            pair[r, c] = np.where(ok, score[np.where(ok, length, 0), r, c], -np.inf)
+        return np.where(start, stop - np.arange(size), 0)
+
     def _unknown(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode("utf-8", "replace")] if self.byte else [self.unk]
 
