@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,31 @@ from pyspark.sql import functions as F
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once in an application: the driver serves a zip file of it to all executors."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if sc.applicationId in _SHIPPED or not package.is_dir():
+        return
+    _SHIPPED.add(sc.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="tessella-code-")) / "tessella_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (local tests), a fresh local one."""
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='tessella-')}"

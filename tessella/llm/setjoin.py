@@ -2,13 +2,14 @@
 
 A document's set holds its distinct 4-word shingles (64-bit hashes). Sets of equal content are one class. Two sets that reach the
 similarity share a token among the first n - ceil(t n) + 1 of their tokens in any common order; here tokens that few documents hold come first,
-by counts over all documents in a hashed table of fixed size. Each class enters its prefix in the token lists, with its size and position.
+by counts over all documents in a hashed table of fixed size. Each class enters its prefix in the token lists, with its size.
 
 Lists are not compared pair by pair. (1) In each list every set is compared with the list's first set only, where sizes and
 positions allow it; of these candidates a set takes the one that shares most tokens. A set found highly similar to another
 has that one's answers: from then on they are one relation and are skipped in each other's lists. (2) Lists that still hold
 several relations compare one member of each with the first. (3) What is left, members of different relations in one list, goes in blocks
-(list, relation) that are skipped by their ranges of sizes and positions, and all remaining pairs are verified. So every
+(list, relation) that are skipped by their ranges of sizes; pairs whose prefixes share too few tokens for the positions left
+behind them are skipped, and all others are verified. So every
 link between different relations is found and the components are exact, while a group of thousands of near copies costs
 a multiple of its size. Verification reads whole texts again.
 
@@ -161,11 +162,16 @@ def _lists(percent: int):
     return run
 
 
-def _possible(n: str, pos: str, m: str, qos: str, percent: int) -> F.Column:
-    """Whether sizes and positions of a shared token let two sets be similar (the token is their first in common, or another pair of
-    positions passes as well)."""
+def _possible(n: str, m: str, percent: int) -> F.Column:
+    """Whether two sizes let sets be similar."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _enough(k: str, n: str, m: str, percent: int) -> F.Column:
+    """Whether sets whose prefixes share k tokens can be similar. Of the set whose prefix ends first in the common order, every shared
+    token up to there is in the other's prefix too; beyond it lie need(n) - 1 tokens at most."""
     least = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(F.col(n), F.col(m)) >= least)
+    return F.col(k) + F.ceil(F.lit(percent) * F.greatest(n, m) / F.lit(100)) - 1 >= least
 
 
 def _filter_bits(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
@@ -217,16 +223,27 @@ def _texts(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (hub, x) of classes, those that are similar, as (u, v). The hub's set is kept while its members pass by."""
+    """Of pairs (hub, x) of classes, those that are similar, as (u, v). A task keeps sets that it met, up to a bound."""
 
     def run(batches):
-        hub, own = None, None
+        kept: dict[int, np.ndarray] = {}
+        total = 0
+
+        def of(i: int, data) -> np.ndarray:
+            nonlocal total
+            s = kept.get(i)
+            if s is None:
+                if total > 4_000_000:  # 32 MB
+                    kept.clear()
+                    total = 0
+                s = kept[i] = shingles(zlib.decompress(data.as_py()).decode(), size)
+                total += len(s)
+            return s
+
         for b in batches:
             u, v = [], []
             for h, x, hd, xd in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if h != hub:
-                    hub, own = h, shingles(zlib.decompress(hd.as_py()).decode(), size)
-                if similar(own, shingles(zlib.decompress(xd.as_py()).decode(), size), percent):
+                if similar(of(h, hd), of(x, xd), percent):
                     u.append(h)
                     v.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -249,7 +266,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     lists = materialise(lists, "lists")
 
     # (1) each set against the first of a list, the one that shares most of its tokens
-    shared = lists.where("x <> hub").where(_possible("n", "pos", "hub_n", "hub_pos", percent)).groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"))
+    shared = lists.where("x <> hub").where(_possible("n", "hub_n", percent)).groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"))
     best = shared.groupBy("x").agg(F.max(F.struct("k", F.col("hub").alias("h"))).alias("b")).select("x", F.col("b.h").alias("hub"))
     pairs = materialise(best, "pairs")
     ids = materialise(lists.select("x").distinct(), "candidates")
@@ -264,13 +281,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
         mixed = blocks.groupBy("token").agg(F.min(F.struct("r", "one")).alias("first"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("token", "first")
         if not last:  # (2) one member of each relation against the list's first
             more = blocks.join(mixed, "token").where("r <> first.r").select(F.col("one.x").alias("x"), F.col("one.n").alias("n"), F.col("first.one.x").alias("hub"), F.col("first.one.n").alias("hub_n"))
-            more = more.where(_possible("n", "n", "hub_n", "hub_n", percent)).select("x", "hub")
+            more = more.where(_possible("n", "hub_n", percent)).select("x", "hub")
         else:  # (3) blocks whose sizes can meet, then their members
             kept = blocks.join(mixed.select("token"), "token")
             a, b = (kept.select("token", F.col("r").alias(f"r{k}"), F.col("low").alias(f"l{k}"), F.col("high").alias(f"h{k}")) for k in "ab")
             meet = a.join(b, "token").where("ra < rb").where((100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))).select("token", "ra", "rb")
             left = meet.join(known.select("token", F.col("r").alias("ra"), F.col("x").alias("hub"), F.col("n").alias("hub_n")), ["token", "ra"])
-            more = left.join(known.select("token", F.col("r").alias("rb"), "x", "n"), ["token", "rb"]).where(_possible("n", "n", "hub_n", "hub_n", percent)).select("x", "hub")
+            more = left.join(known.select("token", F.col("r").alias("rb"), "x", "n"), ["token", "rb"]).where(_possible("n", "hub_n", percent))
+            more = more.groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n")).where(_enough("k", "n", "hub_n", percent)).select("x", "hub")
         more = more.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = materialise(more, "pairs")
         tried = tried.union(more)
