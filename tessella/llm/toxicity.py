@@ -124,8 +124,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def fit(texts: list[str | None], labels: list[int], ratio: float = 10.0, test: float = 25.0, dictionary: int = 2048) -> Model:
-    """Fits on texts with labels 0 and 1."""
+def fit(texts: list[str | None], labels: list[int], prior: float | None = None, ratio: float = 10.0, test: float = 25.0, dictionary: int = 2048) -> Model:
+    """Fits on texts with labels 0 and 1. prior: the share of label 1 among all labelled rows, of which the texts are a sample."""
     import zstandard as z
 
     every = [plain(t) for t in texts]
@@ -170,7 +170,8 @@ def fit(texts: list[str | None], labels: list[int], ratio: float = 10.0, test: f
     x = np.array([[1.0, *model.features(t)] for t in texts])
     y = np.array(labels, float)
     share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / 1.0
+    prior = share if prior is None else prior
+    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, *([1e-2] * (x.shape[1] - 1))]) * len(y)
     for _ in range(50):
@@ -184,15 +185,16 @@ def fit(texts: list[str | None], labels: list[int], ratio: float = 10.0, test: f
     return model
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list, list[int]]:
-    """Texts and labels of at most per_class rows of each label, those with the least hash of doc_id, from the rows whose
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list, list[int], float | None]:
+    """Texts and labels, and the share of label 1 in all such rows, of at most per_class rows of each label, those with the least hash of doc_id, from the rows whose
     crc32(doc_id) mod 5 is not 0; the same label twice for a document counts once, contradictory labels not at all."""
     own = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     own = own.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y1")).where("y = y1")
     picked = [own.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "y") for k in (0, 1)]
     both = picked[0].union(picked[1])  # at most 2 * per_class rows
+    n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     rows = documents.select("doc_id", "text").join(F.broadcast(both), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return [r["text"] for r in rows], [int(r["y"]) for r in rows]
+    return [r["text"] for r in rows], [int(r["y"]) for r in rows], (n.get(1, 0) / sum(n.values()) if len(n) == 2 else None)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

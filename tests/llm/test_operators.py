@@ -117,9 +117,9 @@ def test_toxicity_windows_hold_the_whole_text():
 def test_training_rows_leave_out_held_out_and_contradictory(spark):
     d = frame(spark, [(i, f"t{i}") for i in range(40)])
     lab = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (5, None)], "doc_id long, toxic int")
-    texts, _ = toxicity.training_rows(d, lab, "toxic", 100)
+    texts, _, share = toxicity.training_rows(d, lab, "toxic", 100)
     own = {int(t[1:]) for t in texts}
-    assert 3 not in own and all(zlib.crc32(str(i).encode()) % 5 for i in own) and len(own) > 20
+    assert 0 < share < 1 and 3 not in own and all(zlib.crc32(str(i).encode()) % 5 for i in own) and len(own) > 20
 
 
 # op2
