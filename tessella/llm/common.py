@@ -160,6 +160,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+_B = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+_POW: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, for hashes of substrings from prefix sums."""
+    if not _POW or len(_POW[0]) < n:
+        size = 1 << max(12, int(n - 1).bit_length())
+        up, down = np.full(size, _B), np.full(size, _INV)
+        up[0] = down[0] = 1
+        _POW[:] = [np.cumprod(up), np.cumprod(down)]
+    return _POW[0], _POW[1]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 with good spread (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -26,40 +26,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix64, table
+from .common import components, materialise, mix64, powers, table
 
 SHINGLE, PERCENT = 4, 85
 WIDTH, CHUNK = 1 << 21, 1 << 16
 HOT = 4096
+PAIR_BLOCK = 1024
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
+#: ASCII letters are lower-cased; 32 and 9 to 13 are white space.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_VALUE = mix64(np.arange(1000, 1256, dtype=np.uint64))[_LOWER]
+_PART = 1 << 20
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of UTF-8 bytes, in order, without an object for each word."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + _PART, len(data))
+        while end < len(data) and not _BLANK[data[end]]:  # parts end between words
+            end += 1
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        at = end
+        blank = _BLANK[x]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+        first, last = edge[::2], edge[1::2]
+        up, down = powers(len(x) + 1)
+        c = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_VALUE[x] * up[: len(x)], out=c[1:])
+        out.append(mix64((c[last] - c[first]) * down[first] + (last - first).astype(np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text."""
-    words = (text or "").encode("utf-8", "replace").lower().split()  # ASCII letters and ASCII white space alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = _word_hashes((text or "").encode("utf-8", "replace"))
+    if not len(w):
+        return w
     k = min(size, len(w))
     s = np.full(len(w) - k + 1, np.uint64(k))
     for j in range(k):
         s = s * _M[5] + w[j : len(w) - k + 1 + j] * _M[j % 5]
-    return np.unique(mix64(s))
+    s = mix64(s)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def need(n: int, percent: int = PERCENT) -> int:
@@ -110,18 +123,20 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_id, prefix array<bigint>, salts array<int>): tokens in common order, most telling first. counts: broadcast."""
+    """(doc_id, n, set_id, rank, prefix array<bigint>, salts array<int>): tokens in common order, most telling first. rank is least for sets
+    whose telling tokens are in many documents: such a set is near the middle of its group. counts: broadcast."""
 
     def run(batches):
         have = counts.value
         for b in batches:
             ids = b.column(0)
-            n, sets, pre, salts = [], [], [], []
+            n, sets, ranks, pre, salts = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, size)
                 n.append(len(s))
                 if not len(s):
                     sets.append(0)
+                    ranks.append(0)
                     pre.append([])
                     salts.append([])
                     continue
@@ -131,23 +146,24 @@ def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
                 level = np.log2(f + 1.0).astype(np.int64)
                 k = np.lexsort((s, level))[: len(s) - need(len(s), percent) + 1]
                 pre.append((s[k] >> np.uint64(16)).astype(np.int64))  # 48 bits: a clash only adds candidates
+                ranks.append(-int(1000 * level[k].mean()))
                 parts = 1 + f[k] // HOT
                 salts.append(np.where(parts > 1, 1 + (sid & 0x7FFFFFFF) % parts, 0).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sets, pa.int64()), pa.array(pre, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], names=["doc_id", "n", "set_id", "prefix", "salts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sets, pa.int64()), pa.array(ranks, pa.int32()), pa.array(pre, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], names=["doc_id", "n", "set_id", "rank", "prefix", "salts"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, set_id long, prefix array<bigint>, salts array<int>")
+    return docs.mapInArrow(run, "doc_id long, n int, set_id long, rank int, prefix array<bigint>, salts array<int>")
 
 
-def _lists(percent: int):
-    """Streams lists (sorted by token, salt, set_id): rows of lists of one set go, the others get their list's first set."""
+def _lists():
+    """Streams lists (sorted by token, salt, rank, set_id): rows of lists of one set go, the others get their list's first set."""
 
     def run(batches):
         head, single = None, None
         for b in batches:
             out: list[tuple] = []
-            for token, salt, sid, n, pos in zip(*(c.to_pylist() for c in b.columns)):
+            for token, salt, rank, sid, n in zip(*(c.to_pylist() for c in b.columns)):
                 if head is None or head[0] != token or head[1] != salt:
-                    head, single = (token, salt, sid, n, pos), (token, sid, n, pos, sid, n, pos)
+                    head, single = (token, salt, sid, n), (token, sid, n, rank, sid, n)
                     if salt:
                         out.append(single)
                         single = None
@@ -155,9 +171,9 @@ def _lists(percent: int):
                     if single:
                         out.append(single)
                         single = None
-                    out.append((token, sid, n, pos, head[2], head[3], head[4]))
-            cols = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=["token", "x", "n", "pos", "hub", "hub_n", "hub_pos"])
+                    out.append((token, sid, n, rank, head[2], head[3]))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["token", "x", "n", "rank", "hub", "hub_n"])
 
     return run
 
@@ -167,13 +183,6 @@ def _possible(n: str, m: str, percent: int) -> F.Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _enough(k: str, n: str, m: str, percent: int) -> F.Column:
-    """Whether sets whose prefixes share k tokens can be similar. Of the set whose prefix ends first in the common order, every shared
-    token up to there is in the other's prefix too; beyond it lie need(n) - 1 tokens at most."""
-    least = F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / F.lit(100 + percent))
-    return F.col(k) + F.ceil(F.lit(percent) * F.greatest(n, m) / F.lit(100)) - 1 >= least
-
-
 def _filter_bits(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
     """A bitmap of fixed size of the ids' hashes, put together from the parts' bitmaps."""
     step = bits // 64
@@ -198,31 +207,31 @@ def _filter_bits(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(set_id, packed text) of the classes in ids, one each: a bitmap drops most other documents before the shuffle."""
+def _texts(docs: DataFrame, own: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(set_id, packed text) of the classes in ids, one each: a bitmap of their smallest doc_ids drops most other documents unread."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_filter_bits(ids))
+    least = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    wanted = materialise(least.join(ids, "set_id"), "wanted")
+    bits = spark.sparkContext.broadcast(_filter_bits(wanted.select(F.coalesce("doc_id", F.lit(0)))))
 
     def run(batches):
-        have, seen = bits.value, set()
+        have = bits.value
         for b in batches:
             sets, data = [], []
-            for t in b.column(0).to_pylist():
+            h = mix64(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(len(have) * 8 - 1)
+            hit = np.flatnonzero((have[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
+            for k in hit.tolist():
+                t = b.column(1)[k].as_py()
                 s = shingles(t, size)
                 if len(s):
-                    sid = _set_id(s)
-                    h = int(mix64(np.array([sid], np.int64).view(np.uint64))[0]) & (len(have) * 8 - 1)
-                    if sid not in seen and have[h >> 3] >> (h & 7) & 1:
-                        if len(seen) < 1_000_000:  # copies in one task are sent once
-                            seen.add(sid)
-                        sets.append(sid)
-                        data.append(zlib.compress(t.encode("utf-8", "replace"), 1))
+                    sets.append(_set_id(s))
+                    data.append(zlib.compress(t.encode("utf-8", "replace"), 1))
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(data, pa.binary())], names=["set_id", "data"])
 
-    return docs.select("text").mapInArrow(run, "set_id long, data binary").join(ids.withColumnRenamed(ids.columns[0], "set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return docs.mapInArrow(run, "set_id long, data binary").join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (hub, x) of classes, those that are similar, as (u, v). A task keeps sets that it met, up to a bound."""
 
     def run(batches):
@@ -248,51 +257,103 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                     v.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
+    ids = pairs.select(F.col("hub").alias("set_id")).union(pairs.select("x")).distinct()
+    texts = materialise(_texts(docs, own, ids, size), "texts")
     with_x = pairs.join(texts.select(F.col("set_id").alias("x"), F.col("data").alias("x_data")), "x")
     both = with_x.join(texts.select(F.col("set_id").alias("hub"), F.col("data").alias("hub_data")), "hub")
     return both.select("hub", "x", "hub_data", "x_data").mapInArrow(run, "u long, v long")
 
 
+def _rest(known: DataFrame, percent: int) -> DataFrame:
+    """(3) pairs (x, hub) of different relations whose prefixes share enough tokens. Entries go in blocks by token group: lists are cut into
+    blocks of bounded size; a task counts the shared tokens of a pair of blocks and gives only the pairs that pass."""
+    spark = known.sparkSession
+    group = components(known.groupBy("token").agg(F.min("x").alias("v")).join(known.select("token", "x"), "token").where("x <> v").select(F.col("x").alias("u"), "v").distinct())
+    sets = known.groupBy("x", "r").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
+    sets = sets.join(group.withColumnRenamed("node", "x"), "x")
+    # sets of like size share a block, so that pairs of blocks whose sizes cannot meet are skipped
+    band = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int"))
+    cuts = band.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("cuts"))
+    band = band.join(cuts, ["component", "band"])
+    band = band.withColumn("part", F.pmod(F.xxhash64("x"), F.col("cuts")).cast("int"))
+    blocks = band.groupBy("component", "band", "part").agg(F.collect_list(F.struct("x", "r", "n", "tokens")).alias("own"))
+    blocks = materialise(blocks, "set-blocks")
+    keys = blocks.select("component", "band", "part")
+    a, b = keys.select("component", F.col("band").alias("ba"), F.col("part").alias("pa")), keys.select("component", F.col("band").alias("bb"), F.col("part").alias("pb"))
+    meet = a.join(b, "component").where("(ba = bb and pa <= pb) or ba + 1 = bb")
+    left = blocks.select("component", F.col("band").alias("ba"), F.col("part").alias("pa"), F.col("own").alias("left"))
+    right = blocks.select("component", F.col("band").alias("bb"), F.col("part").alias("pb"), F.col("own").alias("right"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = meet.repartition(parts, "component", "ba", "pa", "bb", "pb").join(left, ["component", "ba", "pa"]).join(right, ["component", "bb", "pb"])
+
+    def flat(own):
+        tokens = [x["tokens"] for x in own]
+        owner = np.repeat(np.arange(len(own)), [len(t) for t in tokens])
+        t = np.array([y for x in tokens for y in x], np.int64)
+        order = np.argsort(t, kind="stable")
+        return [np.array([x[k] for x in own], np.int64) for k in ("x", "r", "n")], t[order], owner[order]
+
+    def run(batches):
+        for batch in batches:
+            xs, hubs = [], []
+            for k in range(batch.num_rows):
+                (xa, ra, na), ta, oa = flat(batch.column(0)[k].as_py())
+                (xb, rb, nb), tb, ob = flat(batch.column(1)[k].as_py())
+                count = np.zeros((len(xa), len(xb)), np.uint16)
+                common = np.intersect1d(ta, tb)
+                for lo, hi, lo2, hi2 in zip(np.searchsorted(ta, common), np.searchsorted(ta, common, "right"), np.searchsorted(tb, common), np.searchsorted(tb, common, "right")):
+                    count[np.ix_(oa[lo:hi], ob[lo2:hi2])] += 1
+                i, j = np.nonzero(count)
+                keep = ra[i] != rb[j]
+                i, j = i[keep], j[keep]
+                low, high = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+                least = -(-percent * (low + high) // (100 + percent))
+                # of the set whose prefix ends first in the common order, every shared token up to there is in the other's prefix
+                # too; beyond it lie need(n) - 1 tokens at most
+                ok = (100 * low >= percent * high) & (count[i, j] - (-percent * high // 100) - 1 >= least)
+                xs.append(xa[i[ok]])
+                hubs.append(xb[j[ok]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (xs, hubs)], names=["x", "hub"])
+
+    return pairs.select("left", "right").mapInArrow(run, "x long, hub long")
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(np.minimum(token_counts(docs, size), 2**31 - 1).astype(np.int32))
     own = materialise(prefixes(docs, counts, size, percent), "prefixes")
-    sets = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    entries = sets.select("set_id", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e")).select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salt"), "set_id", "n", "pos")
+    sets = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
+    entries = sets.select("set_id", "n", "rank", F.explode(F.arrays_zip("prefix", "salts")).alias("e")).select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salt"), "rank", "set_id", "n")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "set_id").mapInArrow(_lists(percent), "token long, x long, n int, pos int, hub long, hub_n int, hub_pos int")
+    lists = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "rank", "set_id").mapInArrow(_lists(), "token long, x long, n int, rank int, hub long, hub_n int")
     lists = materialise(lists, "lists")
 
     # (1) each set against the first of a list, the one that shares most of its tokens
     shared = lists.where("x <> hub").where(_possible("n", "hub_n", percent)).groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"))
     best = shared.groupBy("x").agg(F.max(F.struct("k", F.col("hub").alias("h"))).alias("b")).select("x", F.col("b.h").alias("hub"))
     pairs = materialise(best, "pairs")
-    ids = materialise(lists.select("x").distinct(), "candidates")
-    texts = materialise(_texts(docs, ids, size), "texts")
-    links = materialise(verify(pairs, texts, size, percent), "links")
+    links = materialise(verify(pairs, docs, own, size, percent), "links")
     tried = pairs.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
 
+    known = lists.select("token", "x", "n", "rank")
     for last in (False, True):
-        relation = materialise(components(links), "relations")
-        known = lists.select("token", "x", "n").join(relation.withColumnRenamed("node", "x"), "x", "left").select("token", "x", "n", F.coalesce("component", "x").alias("r"))
-        blocks = known.groupBy("token", "r").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.struct("x", "n")).alias("one"))
-        mixed = blocks.groupBy("token").agg(F.min(F.struct("r", "one")).alias("first"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("token", "first")
+        relation = components(links).withColumnRenamed("node", "x")
+        known = known.drop("r").join(relation, "x", "left").withColumn("r", F.coalesce("component", "x")).drop("component")
+        mixed = known.groupBy("token").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("token")
+        known = materialise(known.join(mixed, "token"), "mixed-lists")  # lists of one relation are done
         if not last:  # (2) one member of each relation against the list's first
-            more = blocks.join(mixed, "token").where("r <> first.r").select(F.col("one.x").alias("x"), F.col("one.n").alias("n"), F.col("first.one.x").alias("hub"), F.col("first.one.n").alias("hub_n"))
+            blocks = known.groupBy("token", "r").agg(F.min(F.struct("rank", "x", "n")).alias("one"))
+            first = blocks.groupBy("token").agg(F.min(F.struct("one", "r")).alias("first"))
+            more = blocks.join(first, "token").where("r <> first.r").select(F.col("one.x").alias("x"), F.col("one.n").alias("n"), F.col("first.one.x").alias("hub"), F.col("first.one.n").alias("hub_n"))
             more = more.where(_possible("n", "hub_n", percent)).select("x", "hub")
-        else:  # (3) blocks whose sizes can meet, then their members
-            kept = blocks.join(mixed.select("token"), "token")
-            a, b = (kept.select("token", F.col("r").alias(f"r{k}"), F.col("low").alias(f"l{k}"), F.col("high").alias(f"h{k}")) for k in "ab")
-            meet = a.join(b, "token").where("ra < rb").where((100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))).select("token", "ra", "rb")
-            left = meet.join(known.select("token", F.col("r").alias("ra"), F.col("x").alias("hub"), F.col("n").alias("hub_n")), ["token", "ra"])
-            more = left.join(known.select("token", F.col("r").alias("rb"), "x", "n"), ["token", "rb"]).where(_possible("n", "hub_n", percent))
-            more = more.groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n")).where(_enough("k", "n", "hub_n", percent)).select("x", "hub")
+        else:
+            more = _rest(known, percent)
         more = more.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = materialise(more, "pairs")
         tried = tried.union(more)
-        links = links.union(materialise(verify(more.select(F.col("a").alias("hub"), F.col("b").alias("x")), texts, size, percent), "links"))
+        links = links.union(materialise(verify(more.select(F.col("a").alias("hub"), F.col("b").alias("x")), docs, own, size, percent), "links"))
     relation = components(links)
     to = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id")
     named = to.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
