@@ -135,12 +135,13 @@ def _union_find(batches):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, component) for each node, component its smallest node.
 
-    Each task first joins its own edges (union-find in bounded memory); then large-star and small-star rounds, which meet in
+    Each task first joins its own edges (union-find in bounded memory), fewer tasks join what those leave; then large-star and small-star rounds, which meet in
     O(log^2 n) rounds, each written to the shared folder. A hub's edges are spread by partial minima and skew joins.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    e = e.mapInArrow(_union_find, "u long, v long")
+    few = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    e = e.mapInArrow(_union_find, "u long, v long").repartition(few).mapInArrow(_union_find, "u long, v long")
     e = materialise(e.distinct(), "links")
     before = None
     for _ in range(rounds):
