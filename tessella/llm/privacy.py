@@ -2,9 +2,10 @@
 
 Base kinds are found by pattern (email, ip, card, phone). Around each base span the words of a window are its context. Over the whole corpus, the
 pointwise mutual information of a protected value c and a term t, log(N n_ct / (n_c n_t)), says how much of the value's information
-log(N / n_c) the term gives away; a term that gives the share ``alpha`` of it or more, seen with the value in ``support``
-different contexts or more, discloses it. Its occurrences beside the value become spans of kind ``term``: removed if they give
-all of it away, generalised otherwise. n_ct and n_c count different contexts (copies of one passage are no further
+log(N / n_c) the term gives away; a term that gives the share ``alpha`` of it or more discloses it. Every term of every value is
+tested (``support`` 1: most values are unique); against chance the test takes (N + 1) / (n_t + 1) for N / n_t, so that a term seen once
+needs a corpus in which one meeting says enough (N >= 2 ** (1 / (1 - alpha)), 1024 documents). Its occurrences beside the value
+become spans of kind ``term``: removed if they give all of it away, generalised otherwise. n_ct and n_c count different contexts (copies of one passage are no further
 evidence), n_t and N documents. All statistics cover all documents. Null texts count as empty; repeated rows are found each;
 other columns stay as they are in sanitise() and are dropped in find().
 """
@@ -27,7 +28,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-ALPHA, SUPPORT, NEAR = 0.9, 3, 8
+ALPHA, SUPPORT, NEAR = 0.9, 1, 8
 TERM_SPLIT = r"[^\p{L}]+"
 
 
@@ -109,8 +110,10 @@ def disclosing(found: DataFrame, documents: DataFrame, alpha: float = ALPHA, sup
     every = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = documents.agg(F.count(F.lit(1)).alias("n"))
     own = together.join(values, "value").join(every, "term").join(F.broadcast(total))  # one row
-    share = F.log(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_c"))
-    return own.where("n > n_c").withColumn("share", share).where(F.col("share") >= alpha).select("value", "term", "share")
+    whole = F.log(F.col("n") / F.col("n_c"))
+    share = F.log(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / whole
+    tested = F.log((F.col("n") + 1) * F.col("n_ct") / (F.col("n_c") * (F.col("n_t") + 1))) / whole
+    return own.where("n > n_c").where(tested >= alpha).select("value", "term", F.when(F.col("n_ct") >= F.col("n_t"), 1.0).otherwise(share).alias("share"))
 
 
 def _with_terms(found: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:

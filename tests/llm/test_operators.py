@@ -226,6 +226,23 @@ def test_disclosing_terms_by_hand(spark):
     assert not any("term" in r["spans"] for r in privacy.find(frame(spark, copies)).collect())  # copies are one context
 
 
+def filler(n):
+    return [(1000 + i, f"common filler text number {''.join(chr(97 + i // 26**k % 26) for k in range(4))}") for i in range(n)]
+
+
+def term_texts(rows, got):
+    text = dict(rows)
+    return {r["doc_id"]: {text[r["doc_id"]][int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "term"} for r in got}
+
+
+def test_terms_of_values_seen_once(spark):
+    rows = [(1, "common filler text heitlich write heitlich.60@mail8.example.com common filler text"), *filler(1500)]
+    got = term_texts(rows, privacy.find(frame(spark, rows)).collect())
+    assert "heitlich" in got[1] and "common" not in got[1] and not any(got[i] for i, _ in rows[1:])
+    few = rows[:40]  # too few texts: the one meeting may be chance
+    assert not any(term_texts(few, privacy.find(frame(spark, few)).collect()).values())
+
+
 # op5
 def test_main_text(spark):
     model = html.train()
