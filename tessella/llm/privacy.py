@@ -1,19 +1,21 @@
 """op4: personal data, and terms that reveal it.
 
-Base kinds are found by pattern (email, ip, card, phone). Around each base span the words of a window are its context. Over the whole corpus, the
-pointwise mutual information of a protected value c and a term t, log(N n_ct / (n_c n_t)), says how much of the value's information
-log(N / n_c) the term gives away; a term that gives the share ``alpha`` of it or more discloses it. Every term of every value is
-tested (``support`` 1: most values are unique); against chance the test takes (N + 1) / (n_t + 1) for N / n_t, so that a term seen once
-needs a corpus in which one meeting says enough (N >= 2 ** (1 / (1 - alpha)), 1024 documents). Its occurrences beside the value
-become spans of kind ``term``: removed if they give all of it away, generalised otherwise. n_ct and n_c count different contexts (copies of one passage are no further
-evidence), n_t and N documents. All statistics cover all documents. Null texts count as empty; repeated rows are found each;
-other columns stay as they are in sanitise() and are dropped in find().
+Base kinds are found by pattern (email, ip, card, phone). Over the whole corpus, the pointwise mutual information of a protected value c and a
+term t that stands anywhere in the same text, log(N n_ct / (n_c n_t)), says how much of the value's information log(N / n_c) the term
+gives away; a term that gives the share ``alpha`` of it or more discloses it. Every term of every value is tested (``support`` 1: most
+values are unique); against chance the test takes (N + 1) / (n_t + s) for N / n_t, so that a term seen once needs a corpus in which one
+meeting says enough: s is 1 (N >= 2 ** (1 / (1 - alpha)), 1024) for terms that stay away from the value, down to 1/2 (58) for those that
+are always among the NEAR words to a side of it. In the texts that hold the value all occurrences of the term become spans of kind ``term``:
+removed if they give all of it away, generalised otherwise. n_ct and n_c count different texts (copies are no further evidence), n_t and N
+documents. All statistics cover all documents. Null texts count as empty; repeated rows are found each; other columns stay as they
+are in sanitise() and are dropped in find().
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,29 +63,40 @@ def spell(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def contexts(text: str, spans) -> list[tuple[int, str, list[tuple[str, int, int]]]]:
-    """For each base span (its number, the value, its context's (term, start, end)): NEAR words to each side, none of them part of a base
-    span."""
-    out = []
-    for j, (s, _, e) in enumerate(spans):
-        size = 64
-        while True:  # wide enough for NEAR words, however long they are
-            left, right = max(0, s - size), min(len(text), e + size)
-            before = [(m[0].lower(), left + m.start(), left + m.end()) for m in _TERM.finditer(text[left:s])]
-            after = [(m[0].lower(), e + m.start(), e + m.end()) for m in _TERM.finditer(text[e:right])]
-            if (len(before) > NEAR or left == 0) and (len(after) > NEAR or right == len(text)):
-                break
-            size *= 4
-        own = [t for t in before[-NEAR:] + after[:NEAR] if not any(a < t[2] and t[1] < b for a, _, b in spans)]
-        out.append((j, text[s:e], own))
+def words_outside(text: str, spans) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of which no part is in a base span, in order."""
+    out, k, end = [], 0, 0
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            end = max(end, spans[k][2])
+            k += 1
+        if m.start() >= end:
+            out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
-_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<value:string,context:long,term:string,start:int,stop:int>>"
+def postings(text: str) -> tuple[list[str], dict[str, set[int]]]:
+    """The different values of a text, and its terms with the numbers of the values that they stand beside: among NEAR words to a side."""
+    spans = base_spans(text)
+    own = words_outside(text, spans)
+    starts = [a for _, a, _ in own]
+    values: dict[str, int] = {}
+    terms: dict[str, set[int]] = {w: set() for w, _, _ in own}
+    for s, _, e in spans:
+        c = values.setdefault(text[s:e], len(values))
+        before, after = bisect_left(starts, s), bisect_left(starts, e)
+        for w, _, _ in own[max(0, before - NEAR) : before] + own[after : after + NEAR]:
+            terms[w].add(c)
+    return list(values), terms
+
+
+_COUNTS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string"
+_FOUND = _COUNTS + ", key binary, text string"
 
 
 def _find(texts: list) -> list[pa.Array]:
-    counts, shas, bases, near = [[] for _ in range(4)], [], [], []
+    """The columns of _FOUND; text only where it holds a value."""
+    counts, shas, bases, keys, held = [[] for _ in range(4)], [], [], [], []
     for t in texts:
         t = t or ""
         spans = base_spans(t)
@@ -92,59 +105,88 @@ def _find(texts: list) -> list[pa.Array]:
         said = spell(spans)
         shas.append(hashlib.sha256(said.encode()).hexdigest())
         bases.append(said)
-        own = []
-        for _, value, terms in contexts(t, spans):
-            c = int.from_bytes(hashlib.blake2b(" ".join(x[0] for x in terms).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-            own += [{"value": value, "context": c, "term": w, "start": a, "stop": b} for w, a, b in terms]
-        near.append(own)
-    kind = pa.list_(pa.struct([("value", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-    return [*(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(bases), pa.array(near, kind)]
+        keys.append(hashlib.sha256(t.encode()).digest())
+        held.append(t if spans else None)
+    return [*(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(bases), pa.array(keys, pa.binary()), pa.array(held, pa.string())]
 
 
-def disclosing(found: DataFrame, documents: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(value, term, share): the terms that give away the share alpha or more of a value's information."""
-    pairs = found.select(F.explode("near").alias("x")).select("x.value", "x.context", "x.term").distinct()
-    together = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    values = pairs.select("value", "context").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_c"))
+def _postings(batches):
+    for b in batches:
+        values, terms = [], []
+        for t in b.column(1).to_pylist():
+            v, own = postings(t)
+            values.append(v)
+            terms.append([{"term": w, "beside": sorted(c)} for w, c in own.items()])
+        kind = pa.list_(pa.struct([("term", pa.string()), ("beside", pa.list_(pa.int32()))]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.string())), pa.array(terms, kind)], names=["key", "values", "terms"])
+
+
+def frequencies(documents: DataFrame) -> DataFrame:
+    """(term, n_t)"""
     words = documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), TERM_SPLIT))).alias("term")).where(F.length("term") >= 3)
-    every = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = documents.agg(F.count(F.lit(1)).alias("n"))
-    own = together.join(values, "value").join(every, "term").join(F.broadcast(total))  # one row
-    whole = F.log(F.col("n") / F.col("n_c"))
-    share = F.log(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / whole
-    tested = F.log((F.col("n") + 1) * F.col("n_ct") / (F.col("n_c") * (F.col("n_t") + 1))) / whole
-    return own.where("n > n_c").where(tested >= alpha).select("value", "term", F.when(F.col("n_ct") >= F.col("n_t"), 1.0).otherwise(share).alias("share"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def _with_terms(found: DataFrame, keys: list[str], terms: DataFrame) -> DataFrame:
-    """Per key, the spans of disclosing terms beside their values: array of (start, stop, share)."""
-    near = found.select(*keys, F.explode("near").alias("x")).select(*keys, "x.value", "x.term", "x.start", "x.stop")
-    return near.join(terms, ["value", "term"]).groupBy(*keys, "start", "stop").agg(F.max("share").alias("share")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "share"))).alias("extra"))
+def disclosing(found: DataFrame, documents: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """(key, terms array<(term, share)>): by text, the terms that give away the share alpha or more of the information of one of its values."""
+    held = found.where(F.col("text").isNotNull()).select("key", "text").dropDuplicates(["key"])
+    own = materialise(held.mapInArrow(_postings, "key binary, values array<string>, terms array<struct<term:string,beside:array<int>>>"), "postings")
+    n = found.count()
+    # values that stand in just the same texts have the same counts: one class
+    values = own.select("key", F.posexplode("values").alias("at", "value"))
+    same = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    same = same.where(F.col("n_c") < n)
+    most = same.agg(F.max("n_c")).first()[0] or 0  # one number
+    classes = values.join(same, "value").groupBy("key", "n_c", "x", "y").agg(F.collect_list("at").alias("at"))
+    # n_ct <= n_c, so log((N + 1) n_ct / (n_c (n_t + s))) >= alpha log(N / n_c) bounds n_t: terms that are too frequent for any value drop out at once
+    limit = lambda c: 1.000001 * (n + 1) / max(n, 1) * c * F.pow(F.lit(float(n)) / c, F.lit(alpha)) - 0.5
+    rare = frequencies(documents).where(F.col("n_t") <= (limit(F.lit(float(most))) if most else F.lit(0.0)))
+    terms = own.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.beside").join(rare, "term")
+    pairs = terms.join(classes, "key").where(F.col("n_t") <= limit(F.col("n_c").cast("double")))
+    pairs = materialise(pairs.select("key", "term", "n_t", "n_c", "x", "y", F.arrays_overlap("beside", "at").cast("int").alias("beside")), "pairs")
+    met = pairs.groupBy("n_c", "x", "y", "term").agg(F.first("n_t").alias("n_t"), F.count(F.lit(1)).alias("n_ct"), F.avg("beside").alias("near"))
+    whole = F.log(F.lit(float(n)) / F.col("n_c"))
+    share = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / whole
+    tested = F.log(F.lit(n + 1.0) * F.col("n_ct") / (F.col("n_c") * (F.col("n_t") + 1 - F.col("near") / 2))) / whole
+    met = met.where((F.col("n_ct") >= support) & (tested >= alpha)).select("n_c", "x", "y", "term", F.when(F.col("n_ct") >= F.col("n_t"), 1.0).otherwise(share).alias("share"))
+    marks = pairs.join(met, ["n_c", "x", "y", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
+    return marks.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+
+
+def occurrences(text: str, spans, terms) -> list[tuple[int, int, float]]:
+    """(start, end, share) of every occurrence of the disclosing terms."""
+    share = {x["term"]: x["share"] for x in terms or []}
+    return [(a, b, share[w]) for w, a, b in words_outside(text, spans) if w in share] if share else []
 
 
 def find(documents: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """Counts, hash of the base spans and all spans of each document."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
 
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            yield pa.RecordBatch.from_arrays([ids, *_find(b.column(1).to_pylist())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_find(b.column(1).to_pylist())], names=[*names, "base", "key", "text"])
+
+    found = materialise(docs.mapInArrow(run, "doc_id long, " + _FOUND), "private")
+    marks = disclosing(found, docs, alpha, support)
 
-    found = materialise(docs.mapInArrow(run, "doc_id long, " + _FOUND).withColumn("row", F.monotonically_increasing_id()), "private")
-    extra = _with_terms(found.where(F.size("near") > 0), ["row"], disclosing(found, docs, alpha, support))
-    both = found.drop("near").join(extra, "row", "left")
-    parts = F.concat(
-        F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.element_at(F.split(x, ":"), 2).cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.element_at(F.split(x, ":"), 1)).cast("int").alias("kind"), x.alias("said"))),
-        F.transform(F.coalesce("extra", F.array().cast("array<struct<start:int,stop:int,share:double>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(5).alias("kind"), F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["stop"].cast("string")).alias("said"))),
-    )
-    spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_join(F.transform(F.sort_array(parts), lambda x: x["said"]), ","))
-    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    def add(batches):
+        for b in batches:
+            said = []
+            for t, terms in zip(b.column(6).to_pylist(), b.column(7).to_pylist()):
+                spans = base_spans(t)
+                said.append(spell(sorted([*spans, *((a, 4, e) for a, e, _ in occurrences(t, spans, terms))])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(said, pa.string())], names=[*names, "spans"])
+
+    held = found.where(F.col("text").isNotNull()).join(marks, "key", "left").select(*names, "text", "terms")
+    kinds = "doc_id long, " + _COUNTS.replace(" base string", " spans string")
+    return found.where(F.col("text").isNull()).select(*names, F.col("base").alias("spans")).union(held.mapInArrow(add, kinds))
 
 
 def redact(text: str, spans, extra) -> str:
     """Base spans become their kind; terms are removed if they give the whole value away, else generalised to a placeholder."""
-    marks = [(s, e, f"[{KINDS[k].upper()}]") for s, k, e in spans] + [(x["start"], x["stop"], "" if x["share"] >= 1 else "[TERM]") for x in extra or []]
+    marks = [(s, e, f"[{KINDS[k].upper()}]") for s, k, e in spans] + [(a, b, "" if share >= 1 else "[TERM]") for a, b, share in extra]
     out, at = [], 0
     for s, e, mark in sorted(marks, key=lambda m: (m[0], -m[1])):
         if e <= at:
@@ -156,28 +198,26 @@ def redact(text: str, spans, extra) -> str:
 
 def sanitise(documents: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """documents with personal data and disclosing terms taken out of text; all rows and columns stay."""
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = _find(texts)
-            keep = [i for i, n in enumerate(found[6].to_pylist()) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in keep], pa.string()), found[6].take(pa.array(keep, pa.int64()))], names=["text", "near"])
-
-    near = docs.mapInArrow(run, "text string, near array<struct<value:string,context:long,term:string,start:int,stop:int>>")
-    found = materialise(near.select(F.sha2("text", 256).alias("row"), "near").dropDuplicates(["row"]), "private")
-    terms = disclosing(found, docs, alpha, support)
-    extra = _with_terms(found, ["row"], terms)
+            yield pa.RecordBatch.from_arrays(_find(b.column(0).to_pylist())[6:], names=["key", "text"])
+
+    found = materialise(docs.mapInArrow(run, "key binary, text string"), "private")
+    marks = disclosing(found, docs, alpha, support)
     names = documents.columns
-    both = documents.withColumn("__row", F.sha2("text", 256)).join(extra.select(F.col("row").alias("__row"), F.col("extra").alias("__extra")), "__row", "left").select(*names, "__extra")
+    both = documents.withColumn("__key", F.unhex(F.sha2("text", 256))).join(marks.select(F.col("key").alias("__key"), F.col("terms").alias("__terms")), "__key", "left").select(*names, "__terms")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def clean(batches):
         for b in batches:
             k = b.schema.get_field_index("text")
             texts, more = b.column(k).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            new = [None if t is None else redact(t, base_spans(t), x) for t, x in zip(texts, more)]
+            new = []
+            for t, terms in zip(texts, more):
+                spans = base_spans(t or "")
+                new.append(None if t is None else redact(t, spans, occurrences(t, spans, terms)))
             cols = list(b.columns[:-1])
             cols[k] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -243,6 +243,19 @@ def test_terms_of_values_seen_once(spark):
     assert not any(term_texts(few, privacy.find(frame(spark, few)).collect()).values())
 
 
+def test_terms_far_from_the_value(spark):
+    gap = "common filler text number " * 10
+    rows = [(k, f"{w} {gap} boss{k}@x.example.com {gap} {w} and {w.upper()}") for k, w in ((1, "zorblatt"), (2, "heitlich"))] + filler(1500)
+    got = {r["doc_id"]: r["spans"] for r in privacy.find(frame(spark, rows)).collect()}
+    text = dict(rows)
+    for k, w in ((1, "zorblatt"), (2, "heitlich")):
+        assert [text[k][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for x in got[k].split(",") if x[:4] == "term"] == [w] * 3
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, rows)).collect()}
+    assert "zorblatt" not in clean[1].lower() and "heitlich" not in clean[2].lower() and clean[1000] == text[1000]
+    again = [*rows, (3, "zorblatt without the value")]  # a text without the value stays as it is
+    assert {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, again)).collect()}[3] == again[-1][1]
+
+
 # op5
 def test_main_text(spark):
     model = html.train()
