@@ -6,8 +6,8 @@ gives away; a term that gives the share ``alpha`` of it or more discloses it. Ev
 values are unique); against chance the test takes (N + 1) / (n_t + s) for N / n_t, so that a term seen once needs a corpus in which one
 meeting says enough: s is 1 (N >= 2 ** (1 / (1 - alpha)), 1024) for terms that stay away from the value, down to 1/2 (58) for those that
 are always among the NEAR words to a side of it. In the texts that hold the value all occurrences of the term become spans of kind ``term``:
-removed if they give all of it away, generalised otherwise. n_ct and n_c count different texts (copies are no further evidence), n_t and N
-documents. All statistics cover all documents. Null texts count as empty; repeated rows are found each; other columns stay as they
+removed if they give all of it away, generalised otherwise. N, n_c, n_t and n_ct all count different texts, so that copies neither add evidence
+nor take it away. All statistics cover all documents. Null texts count as empty; repeated rows are found each; other columns stay as they
 are in sanitise() and are dropped in find().
 """
 
@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, mix64, table
+from .setjoin import _filter_bits
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +34,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 ALPHA, SUPPORT, NEAR = 0.9, 1, 8
-TERM_SPLIT = r"[^\p{L}]+"
 
 
 def luhn(digits: str) -> bool:
@@ -111,7 +113,7 @@ def _find(texts: list) -> list[pa.Array]:
 
 
 def _postings(batches):
-    for b in batches:
+    for b in _slices(batches):
         values, terms = [], []
         for t in b.column(1).to_pylist():
             v, own = postings(t)
@@ -121,36 +123,81 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.string())), pa.array(terms, kind)], names=["key", "values", "terms"])
 
 
-def frequencies(documents: DataFrame) -> DataFrame:
-    """(term, n_t)"""
-    words = documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), TERM_SPLIT))).alias("term")).where(F.length("term") >= 3)
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
+
+
+def _hashed(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column(0).to_pylist()).view(np.int64), pa.int64())], names=["hash"])
+
+
+def _slices(batches, rows: int = 200):
+    """Smaller batches: what a worker holds stays bounded."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes the bitmap holds; it may hold others too."""
+    h = mix64(hashes) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def frequencies(documents: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): how many different texts hold each wanted term (further terms may be there). Bitmaps of fixed size say which terms may be
+    wanted and which texts may have copies; only the words of these are shuffled to count copies once."""
+    sc = documents.sparkSession.sparkContext
+    terms = sc.broadcast(_filter_bits(wanted.mapInArrow(_hashed, "hash long")))
+    copied = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copied = sc.broadcast(_filter_bits(copied.select(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").alias("hash"))))
+
+    def words(copies: bool):
+        def run(batches):
+            for b in _slices(batches):
+                texts = [t or "" for t in b.column(0).to_pylist()]
+                keys = [hashlib.sha256(t.encode()).digest() for t in texts]
+                may = _held(copied.value, np.array([int.from_bytes(k[:7], "big") for k in keys], np.uint64))
+                out = []
+                for k in np.flatnonzero(may == copies).tolist():
+                    own = list({w.lower() for w in set(_TERM.findall(texts[k]))})
+                    own = [own[j] for j in np.flatnonzero(_held(terms.value, _hashes(own))).tolist()]
+                    if own:
+                        out.append((keys[k], " ".join(sorted(own))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], names=["key", "words"])
+
+        return documents.select("text").mapInArrow(run, "key binary, words string")
+
+    texts = words(False).select("words").union(words(True).dropDuplicates(["key"]).select("words"))
+    return texts.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
 def disclosing(found: DataFrame, documents: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(key, terms array<(term, share)>): by text, the terms that give away the share alpha or more of the information of one of its values."""
     held = found.where(F.col("text").isNotNull()).select("key", "text").dropDuplicates(["key"])
-    own = materialise(held.mapInArrow(_postings, "key binary, values array<string>, terms array<struct<term:string,beside:array<int>>>"), "postings")
-    n = found.count()
+    own = materialise(held.mapInArrow(_postings, "key binary, values array<string>, terms array<struct<term:string,beside:array<int>>>").withColumn("id", F.monotonically_increasing_id()), "postings")
+    n = found.select("key").distinct().count()
     # values that stand in just the same texts have the same counts: one class
-    values = own.select("key", F.posexplode("values").alias("at", "value"))
-    same = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    values = own.select("id", F.posexplode("values").alias("at", "value"))
+    same = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     same = same.where(F.col("n_c") < n)
     most = same.agg(F.max("n_c")).first()[0] or 0  # one number
-    classes = values.join(same, "value").groupBy("key", "n_c", "x", "y").agg(F.collect_list("at").alias("at"))
+    classes = values.join(same, "value").groupBy("id", "n_c", "x", "y").agg(F.collect_list("at").alias("at"))
     # n_ct <= n_c, so log((N + 1) n_ct / (n_c (n_t + s))) >= alpha log(N / n_c) bounds n_t: terms that are too frequent for any value drop out at once
     limit = lambda c: 1.000001 * (n + 1) / max(n, 1) * c * F.pow(F.lit(float(n)) / c, F.lit(alpha)) - 0.5
-    rare = frequencies(documents).where(F.col("n_t") <= (limit(F.lit(float(most))) if most else F.lit(0.0)))
-    terms = own.select("key", F.explode("terms").alias("t")).select("key", "t.term", "t.beside").join(rare, "term")
-    pairs = terms.join(classes, "key").where(F.col("n_t") <= limit(F.col("n_c").cast("double")))
-    pairs = materialise(pairs.select("key", "term", "n_t", "n_c", "x", "y", F.arrays_overlap("beside", "at").cast("int").alias("beside")), "pairs")
+    rare = frequencies(documents, found, own.select(F.explode("terms.term"))).where(F.col("n_t") <= (limit(F.lit(float(most))) if most else F.lit(0.0)))
+    terms = own.select("id", F.explode("terms").alias("t")).select("id", "t.term", "t.beside").join(rare, "term")
+    pairs = terms.join(classes, "id").where(F.col("n_t") <= limit(F.col("n_c").cast("double")))
+    pairs = materialise(pairs.select("id", "term", "n_t", "n_c", "x", "y", F.arrays_overlap("beside", "at").cast("int").alias("beside")), "pairs")
     met = pairs.groupBy("n_c", "x", "y", "term").agg(F.first("n_t").alias("n_t"), F.count(F.lit(1)).alias("n_ct"), F.avg("beside").alias("near"))
     whole = F.log(F.lit(float(n)) / F.col("n_c"))
     share = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / whole
     tested = F.log(F.lit(n + 1.0) * F.col("n_ct") / (F.col("n_c") * (F.col("n_t") + 1 - F.col("near") / 2))) / whole
     met = met.where((F.col("n_ct") >= support) & (tested >= alpha)).select("n_c", "x", "y", "term", F.when(F.col("n_ct") >= F.col("n_t"), 1.0).otherwise(share).alias("share"))
-    marks = pairs.join(met, ["n_c", "x", "y", "term"]).groupBy("key", "term").agg(F.max("share").alias("share"))
-    return marks.groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    marks = pairs.join(met, ["n_c", "x", "y", "term"]).groupBy("id", "term").agg(F.max("share").alias("share"))
+    marks = marks.groupBy("id").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    return marks.join(own.select("id", "key"), "id").select("key", "terms")
 
 
 def occurrences(text: str, spans, terms) -> list[tuple[int, int, float]]:

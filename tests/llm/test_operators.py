@@ -256,6 +256,14 @@ def test_terms_far_from_the_value(spark):
     assert {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, again)).collect()}[3] == again[-1][1]
 
 
+def test_copies_do_not_hide_terms(spark):
+    rows = [(100 * k + c, f"alpha{chr(97 + k)} zorblatt john@x.example.com beta{chr(97 + k)}") for k in range(3) for c in range(40)] + filler(300)
+    got = term_texts(rows, privacy.find(frame(spark, rows)).collect())
+    assert all("zorblatt" in got[100 * k + c] for k in range(3) for c in range(40))
+    once = term_texts(rows, privacy.find(frame(spark, [r for r in rows if r[0] % 100 == 0 or r[0] >= 1000])).collect())
+    assert all(got[100 * k] == once[100 * k] for k in range(3))  # the same terms with and without copies
+
+
 # op5
 def test_main_text(spark):
     model = html.train()
