@@ -56,6 +56,8 @@ def parse(page: str) -> list[Node]:
     nodes, at, here, anchor = [root], 0, root, 0
     skip = None
     n = len(page)
+    low = page.replace("\u0130", "_").lower()  # the one character whose lower case is longer
+    closing: dict[str, int] = {}  # where the next closing tag of a name is, -1: nowhere
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
@@ -89,8 +91,11 @@ def parse(page: str) -> list[Node]:
         if skip is not None:
             continue
         if name in RAW:
-            if name in ("script", "style", "title", "textarea") or f"</{name}" in page[at:].lower()[:2_000_000]:
-                end = page.lower().find(f"</{name}", at) if name in ("script", "style", "textarea", "title") else -1
+            end = closing.get(name, 0)
+            if 0 <= end < at:
+                end = closing[name] = low.find(f"</{name}", at)
+            if name in ("script", "style", "title", "textarea") or end >= 0:
+                end = end if name in ("script", "style", "textarea", "title") else -1
                 if end >= 0:
                     close = page.find(">", end)
                     at = n if close < 0 else close + 1

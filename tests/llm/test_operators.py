@@ -284,6 +284,13 @@ def test_main_text(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_closing_tags_however_far():
+    far = "hidden words " * 200_000  # 2.6 million characters
+    nodes = html.parse(f"<body><p>\u0130 first</p><template>{far}</TEMPLATE><p>last</p><script>var x</script><svg>never closed<p>end</p>")
+    text = html.text_of(nodes, set(nodes))
+    assert "hidden" not in text and "var" not in text and text.endswith("first last never closed end")
+
+
 def test_decoding_is_consistent():
     nodes = html.parse("<body><div><p>one two three</p><p>four five</p></div><div>six</div></body>")
     rng = np.random.default_rng(0)
