@@ -4,12 +4,12 @@ A document's set holds its distinct 4-word shingles (64-bit hashes). Sets of equ
 similarity share a token among the first n - ceil(t n) + 1 of their tokens in any common order; here tokens that few documents hold come first,
 by counts over all documents in a hashed table of fixed size. Each class enters its prefix in the token lists, with its size.
 
-Lists are not compared pair by pair. (1) In each list every set is compared with the list's first set only, where sizes and
-positions allow it; of these candidates a set takes the one that shares most tokens. A set found highly similar to another
-has that one's answers: from then on they are one relation and are skipped in each other's lists. (2) Lists that still hold
+Lists are not compared pair by pair. (1) In each list every set is compared with the list's first set only, where sizes
+allow it; of these candidates a set takes the one that shares most tokens. Sets found similar, directly or over
+others, are from then on one relation (a connected component) and are skipped in each other's lists. (2) Lists that still hold
 several relations compare one member of each with the first. (3) What is left, members of different relations in one list, goes in blocks
-(list, relation) that are skipped by their ranges of sizes; pairs whose prefixes share too few tokens for the positions left
-behind them are skipped, and all others are verified. So every
+(component of lists, band of sizes, part); pairs of blocks whose bands cannot meet are skipped, then pairs whose prefixes share too few
+tokens for what lies behind the prefixes, and all others are verified. Entries carry no positions in their sets. So every
 link between different relations is found and the components are exact, while a group of thousands of near copies costs
 a multiple of its size. Verification reads whole texts again.
 
