@@ -1,19 +1,25 @@
 """Helpers of the training-data operators: reading, shared scratch tables, range buckets and connected components.
 
 Scratch tables are Parquet in the folder that the session names in ``spark.checkpoint.dir``, which driver and executors
-share; a lost executor rereads them. They go when the Python process ends, or at ``release(spark)``.
+share; a lost executor rereads them. Operators discard those that their result no longer reads; the rest go when the Python
+process ends, or at ``release(spark)``.
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+import zlib
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (local tests), a fresh local one."""
+    """The folder of spark.checkpoint.dir; only where that is unset and all runs in one process (local tests), a fresh local one."""
     ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -64,17 +72,31 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "scratch", None)
+        own = next((x for x in _SCRATCH if x[1] == path), None)
+        if own:
+            _SCRATCH.remove(own)
+            _delete(*own)
 
 
 def release(spark: SparkSession | None = None) -> None:
     """Deletes scratch tables; results that read them must have been written by then."""
     while _SCRATCH:
-        session, path = _SCRATCH.pop()
         try:
-            jvm = session._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_SCRATCH.pop())
         except Exception:  # the JVM may be gone at exit
             return
 
@@ -82,6 +104,72 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of the column (a larger row alone): what a worker holds stays bounded."""
+    n = batch.num_rows
+    if not n:
+        return
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(size + 64)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def tidy() -> None:
+    """Gives memory that a task no longer holds back to the system: workers serve many tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A mapInArrow function that tidies up at its end."""
+
+    def each(batches):
+        yield from run(batches)
+        tidy()
+
+    return each
+
+
+def bitmap(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of fixed size of the ids' hashes (one long column), put together from the parts' bitmaps. What it lets through is
+    checked exactly later: where it fills up, work grows, results do not change."""
+    step = bits // 64
+
+    def run(batches):
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            h = mix64(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+            np.bitwise_or.at(own, (h >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)))
+        keep = [k for k in range(64) if own[k * step // 8 : (k + 1) * step // 8].any()]
+        data = [zlib.compress(own[k * step // 8 : (k + 1) * step // 8].tobytes(), 1) for k in keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(data, pa.binary())], names=["chunk", "data"])
+
+    def join(key, pdf):
+        import pandas as pd
+
+        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["data"]])
+        return pd.DataFrame({"chunk": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in ids.mapInArrow(run, "chunk int, data binary").groupBy("chunk").applyInPandas(join, "chunk int, data binary").collect():
+        out[r["chunk"] * step // 8 : (r["chunk"] + 1) * step // 8] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the hashes the bitmap holds; it may hold others too."""
+    h = mix64(x) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most n - 1 ascending cut points of a long column, by percentile_approx over all rows; n is bounded by the caller."""
     if n <= 1:
@@ -151,7 +239,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # (u, m) for each u comes from the row with v = m; the others give (v, m)
-        e = materialise(small.where("u <> v").distinct(), "links")
+        old, e = e, materialise(small.where("u <> v").distinct(), "links")
+        discard(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, table
-from .setjoin import _filter_bits
+from .common import bitmap as _filter_bits
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

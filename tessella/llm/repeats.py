@@ -2,49 +2,40 @@
 
 Every window of ``width`` bytes names the least hash among its grams (the leftmost among equals) as its anchor, so that equal
 windows, wherever they are, have equal anchors at equal places, and all windows of a document fall into runs of one anchor
-each. Windows can only repeat within runs of one anchor hash.
+each, of less than 2 * width bytes. Windows can only repeat within runs of one anchor hash.
 
-Runs of one content that occur twice are repeated whole, whatever their number. The different runs of an anchor form a group:
-their suffixes from the anchor are sorted, a stack scan over common prefixes gives the interval tree, and in each interval
-the members' extensions to the left (all alike: not left-maximal, its parent or another anchor reports it) tell the maximal
-repeats with all occurrences; those of ``width`` bytes or more are covered. A group of more than ``group`` different runs would be
-too large for a task: there, two bitmaps over window hashes of all its runs drop windows that occur once, what remains is
-compared as ranges of windows, and ranges that match no other range window by window. That path is exact as well.
+Runs of one content that occur twice are repeated whole, whatever their number: equal runs are found by counting their
+64-bit content hashes. The different runs of an anchor form a group: their suffixes from the anchor are sorted, a stack scan over common
+prefixes gives the interval tree, and in each interval the members' extensions to the left (all alike: not left-maximal, its
+parent or another anchor reports it) tell the maximal repeats with all occurrences; those of ``width`` bytes or more are covered.
+
+A group of more than ``group`` different runs is first divided by content over all tasks: windows that begin lo to hi bytes left of the anchor
+share the bytes from lo left of it to width - hi right of it, so runs are dealt by that core; a part of one run drops out, a part of at most
+``group`` runs goes to the interval tree, a part whose runs are alike over all bytes that its windows reach is one interval of
+the tree with all its members and is done, and any other is dealt again by halves of lo to hi. A task thus never holds more than ``group``
+runs, whatever the size of a group.
 
 Null texts count as empty. Matches never cross documents; repeated rows are other occurrences; overlapping occurrences count. Two different grams
 or windows are taken for equal only if 64-bit hashes clash. Other columns are ignored in spans(), kept in remove(). Text is UTF-8
-bytes; in remove() a character that is cut in part goes whole. An empty table gives no rows.
+bytes; in texts a character that is cut in part goes whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, table
-from .setjoin import _filter_bits
+from .common import bitmap, discard, in_bitmap, materialise, mix64, powers, slices, table, tidied
 
-WIDTH, GRAM, GROUP = 400, 32, 4096
+WIDTH, GRAM, GROUP = 400, 32, 1024
 STEP = 1 << 19
 _MASK = np.uint64((1 << 20) - 1)
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        up, down = np.full(size, _B), np.full(size, _INV)
-        up[0] = down[0] = 1
-        _POW[:] = [np.cumprod(up), np.cumprod(down)]
-    return _POW[0], _POW[1]
+_FAR = 1 << 30
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -64,7 +55,7 @@ def runs(data: bytes, width: int = WIDTH, gram: int = GRAM) -> list[np.ndarray]:
     for base in range(0, max(0, len(data) - width + 1), STEP):
         x = np.frombuffer(data, np.uint8, min(STEP + width - 1, len(data) - base), base)
         n = len(x)
-        up, down = _powers(n + 1)
+        up, down = powers(n + 1)
         c = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[x] * up[:n], out=c[1:])
         h = mix64((c[gram:] - c[:-gram]) * down[: n - gram + 1])
@@ -133,194 +124,177 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], width: int) -> list
     return out
 
 
+def extents(lefts: list[bytes], rights: list[bytes], width: int) -> dict[int, tuple[int, int]]:
+    """How far to the left and to the right of its anchor each member of a group is repeated: all its repeats hold the
+    anchor, so together they are one stretch."""
+    out: dict[int, tuple[int, int]] = {}
+    for depth, members in maximal_repeats(lefts, rights, width):
+        for i, left in members:
+            a, b = out.get(i, (0, 0))
+            out[i] = (max(a, left), max(b, depth))
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
 
 def _text_key(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _window_hashes(seg: bytes, off: int, width: int) -> np.ndarray:
-    """Hashes of a run's windows, the last one first: a window begins x = off - (its start) bytes left of the anchor."""
-    x = np.frombuffer(seg, np.uint8)
-    up, down = _powers(len(x) + 1)
-    c = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(_BYTES[x] * up[: len(x)], out=c[1:])
-    starts = np.arange(len(x) - width, -1, -1)
-    return mix64((c[starts + width] - c[starts]) * down[starts] ^ (off - starts).astype(np.uint64) * _BYTES[11])
+def _count(width: int):
+    """Anchor and content hashes of all runs of all texts."""
 
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch, 0):
+                own = [runs(_bytes(t), width)[:2] for t in b.column(0).to_pylist() if t]
+                a, r = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.uint64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([_signed(a), _signed(r)], names=["a", "r"])
 
-def covered(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, text_key, spans array<struct<start,stop>>): the repeated bytes of each document that has any."""
-    spark = docs.sparkSession
-    docs = _keyed(docs)
-
-    def count(batches):
-        for b in batches:
-            a, r = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for t in b.column(0).to_pylist():
-                if t:
-                    x = runs(t.encode("utf-8", "replace"), width)
-                    a.append(x[0])
-                    r.append(x[1])
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(a)), _signed(np.concatenate(r))], names=["a", "r"])
-
-    every = docs.select("text").mapInArrow(count, "a long, r long").groupBy("a", "r").agg(F.count(F.lit(1)).alias("c"))
-    every = materialise(every, "runs")
-    anchors = every.groupBy("a").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    known = materialise(every.join(anchors, "a").select("a", "r", "c", "kinds"), "repeated")
-    want = spark.sparkContext.broadcast((_filter_bits(known.select("a").distinct()), _filter_bits(known.where("kinds > 1").select((F.col("a").bitwiseXOR(F.shiftleft("r", 1))).alias("k")))))
+    return tidied(run)
 
-    def member(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-        h = mix64(x) & np.uint64(len(bits) * 8 - 1)
-        return (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-    def collect(batches):
+def _pair(a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return a ^ (r << np.uint64(1))
+
+
+def _collect(width: int, want):
+    """The runs with repeated anchors, once for each text that the task remembers; of runs with rivals also their bytes, if
+    the task has not just given them. want: broadcast bitmaps of repeated anchors and of runs with rivals."""
+
+    def run(batches):
         repeated, several = want.value
-        seen: set[tuple[int, int]] = set()
-        for b in batches:
-            rows: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not t:
-                    continue
-                data = t.encode("utf-8", "replace")
-                a, r, p, s, e = runs(data, width)
-                keep = np.flatnonzero(member(repeated, a))
-                if not len(keep):
-                    continue
-                key = _text_key(data)
-                text = member(several, a[keep] ^ (r[keep] << np.uint64(1)))
-                for k, m in zip(keep.tolist(), text.tolist()):
-                    x = (int(a[k].view(np.int64)), int(r[k].view(np.int64)))
-                    seg = None
-                    if m and x not in seen:
-                        seg = data[s[k] : e[k] + width]
-                        if len(seen) < 500_000:
-                            seen.add(x)
-                    rows.append((*x, i, key, int(p[k]), int(s[k]), int(e[k]), seg))
-            cols = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "r", "doc_id", "text_key", "p", "s", "e", "seg"])
-
-    found = materialise(docs.mapInArrow(collect, "a long, r long, doc_id long, text_key long, p int, s int, e int, seg binary"), "occurrences")
-    place = found.select("a", "r", "doc_id", "text_key", "p", "s", "e")
-    # runs that occur twice as they are
-    whole = place.join(known.where("c > 1").select("a", "r"), ["a", "r"]).select("doc_id", "text_key", F.col("s").alias("start"), (F.col("e") + width).alias("stop"))
-    # different runs of an anchor
-    several = known.where("kinds > 1")
-    segs = found.where("seg is not null").select("a", "r", (F.col("p") - F.col("s")).alias("off"), "seg").groupBy("a", "r").agg(F.first("off").alias("off"), F.first("seg").alias("seg"))
-    segs = materialise(segs.join(several.select("a", "r", "c", "kinds"), ["a", "r"]), "segments")
-
-    def solve(batches):
+        texts: set[int] = set()
+        given = np.zeros(1 << 18, np.uint64)  # one remembered run for each slot
+        for batch in batches:
+            for b in slices(batch, 0):
+                cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+                segs: list[bytes | None] = []
+                for t in b.column(0).to_pylist():
+                    if not t:
+                        continue
+                    data = _bytes(t)
+                    key = _text_key(data)
+                    if key in texts:
+                        continue
+                    if len(texts) >= 100_000:
+                        texts.clear()
+                    texts.add(key)
+                    own = runs(data, width)
+                    keep = np.flatnonzero(in_bitmap(repeated, own[0]))
+                    if not len(keep):
+                        continue
+                    a, r, p, s, e = (x[keep] for x in own)
+                    both = _pair(a, r)
+                    slot = (mix64(both) >> np.uint64(46)).astype(np.int64)
+                    send = in_bitmap(several, both) & (given[slot] != both)
+                    given[slot[send]] = both[send]
+                    for c, x in zip(cols, (a, r, np.full(len(keep), key, np.int64), p, s, e)):
+                        c.append(x)
+                    segs += [data[i : j + width] if m else None for i, j, m in zip(s.tolist(), e.tolist(), send.tolist())]
+                if segs:
+                    a, r, key, p, s, e = (np.concatenate(c) for c in cols)
+                    yield pa.RecordBatch.from_arrays([_signed(a), _signed(r), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (p, s, e)), pa.array(segs, pa.binary())], names=["a", "r", "text_key", "p", "s", "e", "seg"])
+
+    return tidied(run)
+
+
+def _solve(width: int):
+    """Rows (k, a, r, off, seg) sorted by k: the extents of each group's members."""
+
+    def batch_of(rows):
+        cols = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "r", "left", "right"])
+
+    def run(batches):
         own: list[tuple] = []
         head = None
 
         def flush():
-            out = []
-            if len(own) > 1:
-                lefts = [seg[:off][::-1] for _, off, seg in own]
-                rights = [seg[off:] for _, off, seg in own]
-                for depth, members in maximal_repeats(lefts, rights, width):
-                    out += [(head, own[i][0], left, depth) for i, left in members]
+            found = extents([seg[:off][::-1] for _, _, off, seg in own], [seg[off:] for _, _, off, seg in own], width) if len(own) > 1 else {}
+            rows = [(own[i][0], own[i][1], left, right) for i, (left, right) in found.items()]
             own.clear()
-            return out
-
-        for b in batches:
-            out = []
-            for a, r, off, seg in zip(*(c.to_pylist() for c in b.columns)):
-                if a != head:
-                    out += flush()
-                    head = a
-                own.append((r, off, seg))
-            yield spans_batch(out)
-        yield spans_batch(flush())
-
-    def spans_batch(out):
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "r", "left", "right"])
+            return rows
 
-    kind = "a long, r long, left int, right int"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = segs.where(F.col("kinds") <= group).select("a", "r", "off", "seg").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(solve, kind)
-    near = small.union(_large_groups(segs.where(F.col("kinds") > group), width))
-    near = materialise(near.groupBy("a", "r").agg(F.collect_set(F.struct("left", "right")).alias("x")), "extents")
-    part = place.join(near, ["a", "r"]).select("doc_id", "text_key", "p", F.explode("x").alias("x")).select("doc_id", "text_key", (F.col("p") - F.col("x.left")).alias("start"), (F.col("p") + F.col("x.right")).alias("stop"))
-    return whole.union(part).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        for batch in batches:
+            for b in slices(batch, 4):
+                out = []
+                for k, a, r, off, seg in zip(*(c.to_pylist() for c in b.columns)):
+                    if k != head:
+                        out += flush()
+                        head = k
+                    own.append((a, r, off, seg))
+                yield batch_of(out)
+        yield batch_of(flush())
+
+    return tidied(run)
 
 
-def _large_groups(segs: DataFrame, width: int) -> DataFrame:
-    """(a, r, left, right) for groups of any number of runs, each group over many tasks."""
+def _near(segs: DataFrame, width: int, group: int) -> DataFrame:
+    """(a, r, left, right): how far the different runs of an anchor repeat one another. segs: a, r, off, seg, kinds."""
     spark = segs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "a long, r long, left int, right int"
-    if segs.isEmpty():
-        return spark.createDataFrame([], kind)
-    bits = 1 << 26
-    segs = segs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "r")
-
-    def hashes(a: int, seg: bytes, off: int) -> np.ndarray:
-        return mix64(_window_hashes(seg, off, width) ^ np.array([a], np.int64).view(np.uint64))
-
-    def mark(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for a, seg, off in zip(*(b.column(k).to_pylist() for k in ("a", "seg", "off"))):
-                h = hashes(a, seg, off) & np.uint64(bits - 1)
-                at, bit = (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)
-                np.bitwise_or.at(twice, at, once[at] & bit)
-                np.bitwise_or.at(once, at, bit)
-        step = bits // 8 // 64
-        keep = [k for k in range(64) if once[k * step : (k + 1) * step].any()]
-        pack = lambda x, k: zlib.compress(x[k * step : (k + 1) * step].tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([pack(once, k) for k in keep], pa.binary()), pa.array([pack(twice, k) for k in keep], pa.binary())], names=["chunk", "once", "twice"])
-
-    def fold(key, pdf):
-        import pandas as pd
-
-        once = twice = None
-        for o, t in zip(pdf["once"], pdf["twice"]):
-            o, t = np.frombuffer(zlib.decompress(o), np.uint8), np.frombuffer(zlib.decompress(t), np.uint8)
-            once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-        return pd.DataFrame({"chunk": [key[0]], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    own = np.zeros(bits // 8, np.uint8)
-    step = bits // 8 // 64
-    for x in segs.mapInArrow(mark, "chunk int, once binary, twice binary").groupBy("chunk").applyInPandas(fold, "chunk int, twice binary").collect():
-        own[x["chunk"] * step : (x["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(bytes(x["twice"])), np.uint8)
-    sent = spark.sparkContext.broadcast(own)
-
-    def ranges(batches):
-        twice = sent.value
-        for b in batches:
-            rows = []
-            for a, r, seg, off in zip(*(b.column(k).to_pylist() for k in ("a", "r", "seg", "off"))):
-                full = hashes(a, seg, off)
-                h = full & np.uint64(bits - 1)
-                hit = (twice[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                first = off - (len(seg) - width)  # the least left extension of the run's windows
-                for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    rows.append((a, r, first + lo, first + hi - 1, int(np.add.reduce(full[lo:hi] * (np.arange(lo, hi).astype(np.uint64) * np.uint64(2) + np.uint64(1))).view(np.int64)), full[lo:hi].view(np.int64).tolist()))
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["a", "r", "lo", "hi", "h", "own"])
-
-    every = materialise(segs.mapInArrow(ranges, "a long, r long, lo int, hi int, h long, own array<bigint>"), "ranges")
-    twice = every.groupBy("a", "lo", "hi", "h").agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("own"))
-    named = materialise(twice.select("a", "lo", "hi", "h", "n", F.when(F.col("n") == 1, F.col("own")).alias("own")), "kinds")
-    same = every.join(named.where("n > 1").select("a", "lo", "hi", "h"), ["a", "lo", "hi", "h"]).select("a", "r", F.col("hi").alias("left"), (F.lit(width) - F.col("lo")).alias("right"))
-    # ranges that match no other as a whole: by window, against one range of each kind
-    alone = every.join(named.where("n = 1").select("a", "lo", "hi", "h"), ["a", "lo", "hi", "h"])
-    touched = named.join(alone.select("a").distinct(), "a", "left_semi").select("a", "lo", "hi", "h", "n")
-    one = every.select("a", "lo", "hi", "h", "own").groupBy("a", "lo", "hi", "h").agg(F.first("own").alias("own")).join(touched, ["a", "lo", "hi", "h"])
-    windows = one.select("a", "n", F.posexplode("own").alias("k", "w"), (F.col("lo") + F.col("k")).alias("x"))
-    twice = windows.groupBy("a", "x", "w").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    single = alone.select("a", "r", "lo", F.posexplode("own").alias("k", "w")).select("a", "r", (F.col("lo") + F.col("k")).alias("x"), "w")
-    more = single.join(twice, ["a", "x", "w"]).select("a", "r", F.col("x").alias("left"), (F.lit(width) - F.col("x")).alias("right"))
-    return same.union(more)
+
+    def trees(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_solve(width), kind)
+
+    out = trees(segs.where(F.col("kinds") <= group).select(F.col("a").alias("k"), "a", "r", "off", "seg"))
+    rows = segs.where(F.col("kinds") > group).select("a", "r", "off", "seg", F.lit(0).alias("lo"), F.lit(width - GRAM).alias("hi"))
+    before: list[DataFrame] = []
+    while not rows.isEmpty():  # lo to hi halves each time: at most log2(width) + 1 rounds
+        core = F.substring("seg", F.col("off") - F.col("lo") + 1, F.col("lo") + F.lit(width) - F.col("hi"))
+        reach = F.substring("seg", F.col("off") - F.col("hi") + 1, F.col("hi") + F.lit(width) - F.col("lo"))
+        whole = (F.col("off") >= F.col("hi")) & (F.length("seg") - F.col("off") >= F.lit(width) - F.col("lo"))
+        rows = rows.withColumn("k", F.xxhash64("a", "lo", "hi", core)).withColumn("full", F.when(whole, F.xxhash64(reach)))
+        alike = (F.count("full") == F.count(F.lit(1))) & (F.min("full") == F.max("full"))
+        parts_of = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.coalesce(alike, F.lit(False)).alias("alike")).where("n > 1")
+        dealt = materialise(rows.join(parts_of, "k").drop("full"), "group-parts")
+        before.append(dealt)
+        done = dealt.where("alike").select("a", "r", F.col("hi").alias("left"), (F.lit(width) - F.col("lo")).alias("right"))
+        out = out.union(done).union(trees(dealt.where((F.col("n") <= group) & ~F.col("alike")).select("k", "a", "r", "off", "seg")))
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi")))
+        rows = dealt.where((F.col("n") > group) & ~F.col("alike")).select("a", "r", "off", "seg", F.explode(halves).alias("h")).select("a", "r", "off", "seg", "h.lo", "h.hi")
+        rows = rows.where((F.col("lo") <= F.col("off")) & (F.col("hi") >= F.col("off") + F.lit(width) - F.length("seg")))
+    out = materialise(out.groupBy("a", "r").agg(F.max("left").alias("left"), F.max("right").alias("right")), "extents")
+    discard(*before)
+    return out
+
+
+def covered(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
+    """(text_key, spans array<struct<start,stop>>): the repeated bytes of each different text that has any."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("text").cast("string").alias("text"))
+    every = docs.mapInArrow(_count(width), "a long, r long").groupBy("a", "r").agg(F.count(F.lit(1)).alias("c"))
+    every = materialise(every, "runs")
+    anchors = every.groupBy("a").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
+    known = materialise(every.join(anchors, "a").select("a", "r", "c", "kinds"), "repeated")
+    discard(every)
+    rivals = known.where("kinds > 1").select(F.col("a").bitwiseXOR(F.shiftleft("r", 1)).alias("k"))
+    want = spark.sparkContext.broadcast((bitmap(known.select("a").distinct()), bitmap(rivals)))
+    found = docs.mapInArrow(_collect(width, want), "a long, r long, text_key long, p int, s int, e int, seg binary")
+    found = materialise(found, "occurrences")
+    want.destroy()
+    segs = found.where("seg is not null").select("a", "r", (F.col("p") - F.col("s")).alias("off"), "seg")
+    segs = segs.groupBy("a", "r").agg(F.first("off").alias("off"), F.first("seg").alias("seg"))
+    segs = materialise(segs.join(known.where("kinds > 1").select("a", "r", "kinds"), ["a", "r"]), "segments")
+    near = _near(segs, width, group)
+    discard(segs)
+    whole = known.where("c > 1").select("a", "r", F.lit(_FAR).alias("left"), F.lit(_FAR).alias("right"))
+    reach = whole.union(near).groupBy("a", "r").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    own = found.drop("seg").join(reach, ["a", "r"])
+    start, stop = F.col("p") - F.least(F.col("left"), F.col("p") - F.col("s")), F.col("p") + F.least(F.col("right"), F.col("e") + width - F.col("p"))
+    own = own.groupBy("text_key").agg(F.collect_set(F.struct(start.alias("start"), stop.alias("stop"))).alias("spans"))
+    own = materialise(own, "covered")
+    discard(known, found, near)
+    return own
 
 
 def merge_spans(spans, n: int) -> list[tuple[int, int]]:
@@ -333,75 +307,73 @@ def merge_spans(spans, n: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def kept_parts(raw: bytes, own: list[tuple[int, int]]) -> list[bytes]:
+    """What is left of the bytes without the spans, in order."""
+    edges = [0, *(y for s in own for y in s), len(raw)]
+    return [raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
+
+
+def _cut(docs: DataFrame, width: int, group: int, make, kinds: str) -> DataFrame:
+    """Joins each row to its text's spans and gives make(batch without text, bytes of texts, spans of texts). Texts travel
+    compressed; only where a text is null stays with the row."""
+    cover = covered(docs, width, group)
+    names = docs.columns
+    k = names.index("text")
+    rest = [n for n in names if n != "text"]
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    sent = ", ".join([*(f"`{n}` {fields[n]}" for n in rest), "__key long", "__size int", "__data binary"])
+
+    def key(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in batches:
+            for b in slices(batch, k):
+                data = [None if t is None else _bytes(t) for t in b.column(k).to_pylist()]
+                keys = pa.array([_text_key(x or b"") for x in data], pa.int64())
+                size = pa.array([0 if x is None else len(x) for x in data], pa.int32())
+                packed = pa.array([None if x is None else codec.compress(x, asbytes=True) for x in data], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != k), keys, size, packed], names=[*rest, "__key", "__size", "__data"])
+
+    def cut(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        m = len(rest)
+        for batch in batches:
+            for b in slices(batch, m + 1, 1_000_000):
+                raw = [None if x is None else codec.decompress(x, n, asbytes=True) for n, x in zip(b.column(m).to_pylist(), b.column(m + 1).to_pylist())]
+                own = [merge_spans(x, len(t or b"")) for x, t in zip(b.column(m + 2).to_pylist(), raw)]
+                yield make(b.columns[:m], raw, own)
+
+    keyed = docs.mapInArrow(tidied(key), sent)
+    both = keyed.join(cover.select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    return both.select(*rest, "__size", "__data", "__spans").mapInArrow(tidied(cut), kinds)
+
+
 def spans(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = _keyed(docs)
-    cover = materialise(covered(docs, width, group), "covered")
-    sent = spark.sparkContext.broadcast(_filter_bits(cover.select("text_key")))
-
-    def first(batches):
-        bits = sent.value
-        for b in batches:
-            n, key, sha, text = [], [], [], []
-            for t in b.column(1).to_pylist():
-                data = (t or "").encode("utf-8", "replace")
-                k = _text_key(data)
-                h = int(mix64(np.array([k], np.int64).view(np.uint64))[0]) & (len(bits) * 8 - 1)
-                hit = bool(bits[h >> 3] >> (h & 7) & 1)
-                n.append(len(data))
-                key.append(k)
-                sha.append(hashlib.sha256(data).hexdigest())
-                text.append(zlib.compress(data, 1) if hit else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sha), pa.array(text, pa.binary())], names=["doc_id", "n_bytes", "text_key", "sha", "data"])
-
-    def last(batches):
-        for b in batches:
-            removed, count, shas = [], [], []
-            for n, sha, data, x in zip(*(b.column(k).to_pylist() for k in ("n_bytes", "sha", "data", "spans"))):
-                own = merge_spans(x, n)
-                if own:
-                    raw = zlib.decompress(data)
-                    edges = [0, *(y for s in own for y in s), n]
-                    sha = hashlib.sha256(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))).hexdigest()
-                removed.append(sum(e - s for s, e in own))
-                count.append(len(own))
-                shas.append(sha)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    sized = docs.mapInArrow(first, "doc_id long, n_bytes long, text_key long, sha string, data binary")
-    both = sized.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(cover.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), "text_key", "spans"), ["__id", "text_key"], "left")
-    return both.select("doc_id", "n_bytes", "sha", "data", "spans").mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_chars, text) for each row of docs (doc_id, text): bytes of the text, bytes and
+    maximal runs removed, hash of the bytes that stay, and these as a text with its number of code points."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def make(cols, raw, own):
+        raw = [t or b"" for t in raw]
+        parts = [kept_parts(t, x) for t, x in zip(raw, own)]
+        kept = ["".join(p.decode("utf-8", "ignore") for p in x) for x in parts]
+        sha = [hashlib.sha256(b"".join(x)).hexdigest() for x in parts]
+        n = [[len(t) for t in raw], [sum(e - s for s, e in x) for x in own], [len(x) for x in own]]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64()) for x in n), pa.array(sha, pa.string()), pa.array([len(t) for t in kept], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_chars", "text"])
+
+    return _cut(docs, width, group, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_chars long, text string")
 
 
 def remove(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """docs with repeated passages taken out of text; all rows and columns stay. Characters cut in part go whole."""
-    spark = docs.sparkSession
     names = docs.columns
-    cover = materialise(covered(docs, width, group).groupBy("text_key").agg(F.first("spans").alias("__spans")), "covered")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     k = names.index("text")
 
-    def key(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_key((t or "").encode("utf-8", "replace")) for t in b.column(k).to_pylist()], pa.int64())], names=[*names, "__key"])
+    def make(cols, raw, own):
+        kept = [None if t is None else "".join(p.decode("utf-8", "ignore") for p in kept_parts(t, x)) for t, x in zip(raw, own)]
+        return pa.RecordBatch.from_arrays([*cols[:k], pa.array(kept, pa.string()), *cols[k:]], names=names)
 
-    def cut(batches):
-        for b in batches:
-            out = []
-            for t, x in zip(b.column(k).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                if t is not None and x:
-                    raw = t.encode("utf-8", "replace")
-                    edges = [0, *(y for s in merge_spans(x, len(raw)) for y in s), len(raw)]
-                    t = "".join(raw[edges[i] : edges[i + 1]].decode("utf-8", "ignore") for i in range(0, len(edges), 2))
-                out.append(t)
-            cols = list(b.columns[:-1])
-            cols[k] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    keyed = docs.mapInArrow(key, kinds + ", __key long")
-    both = keyed.join(cover.withColumnRenamed("text_key", "__key"), "__key", "left").select(*names, "__spans")
-    return both.mapInArrow(cut, kinds)
+    return _cut(docs, width, group, make, kinds)
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -449,7 +449,7 @@ def brute_repeats(rows, width):
 
 @pytest.mark.parametrize("group", [4096, 1])
 def test_repeats(docs, rows, group):
-    assert sorted(map(tuple, repeats.spans(docs, 100, group).collect())) == brute_repeats(rows, 100)
+    assert sorted(tuple(x)[:5] for x in repeats.spans(docs, 100, group).collect()) == brute_repeats(rows, 100)
 
 
 def test_repeats_of_edges_and_tables(spark, empty):
@@ -457,7 +457,7 @@ def test_repeats_of_edges_and_tables(spark, empty):
     p = words(r, 80)
     rows = [(i, words(r, 3) + p[r.randint(0, 60) : len(p) - r.randint(0, 60)] + words(r, 3)) for i in range(40)]
     for group in (4096, 3):
-        assert sorted(map(tuple, repeats.spans(frame(spark, rows), 120, group).collect())) == brute_repeats(rows, 120)
+        assert sorted(tuple(x)[:5] for x in repeats.spans(frame(spark, rows), 120, group).collect()) == brute_repeats(rows, 120)
     assert repeats.spans(empty).count() == 0
     kept = repeats.remove(frame(spark, [(1, "é" * 300 + "x"), (2, "y" + "é" * 300), (3, None), (4, "clean")]), 400).collect()
     assert {x["doc_id"]: x["text"] for x in kept}[4] == "clean" and len(kept) == 4 and kept[0]["key"] == "k"
