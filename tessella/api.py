@@ -95,16 +95,25 @@ class Engine:
         return {"ms": 1000 * took / n, "qps": n / took}
 
     def within(self, df: DataFrame, seconds: float) -> list:
-        """The rows of a query that ends in time; its jobs are cancelled otherwise."""
+        """The rows of a query that ends in time; its jobs are cancelled otherwise and TimeoutError is raised."""
         import threading
         import uuid
 
-        tag = f"within-{uuid.uuid4().hex}"
-        timer = threading.Timer(seconds, lambda: self.spark.interruptTag(tag))
+        tag, late = f"within-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.spark.interruptTag(tag)
+
+        timer = threading.Timer(seconds, stop)
         self.spark.addTag(tag)
         timer.start()
         try:
             return df.collect()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"the query took more than {seconds} s") from e
+            raise
         finally:
             timer.cancel()
             self.spark.removeTag(tag)

@@ -40,18 +40,23 @@ def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
 _add("scan_r1", "region", "select * from region")
 _add("range_r3", "range(3, 40)", "select range::bigint as range from range(3, 41) t(range)")
 _add("range_date_r4", 'range(date("1996-02-25"), date("1996-03-05"))', "select d::date as range from generate_series(timestamp '1996-02-25', timestamp '1996-03-05', interval 1 day) t(d)")
-_add("empty_r5", "filter(false, select([r_regionkey, r_name], region))", "select r_regionkey, r_name from region where false")
+_add("empty_r5", "depjoin(aempty, select([r_regionkey, r_name], region))", "select r_regionkey, r_name from region where false")
 _add("scalar_r6", "ascalar((2 + 3) as v)", "select 5::bigint as v")
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, sf_dir)
     t = {n: e.catalog.table(spark, n)[0] for n in ("lineitem", "orders", "customer")}
-    got = star_sample(t, "lineitem", 500, 7, [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")])
+    got = star_sample(t, "lineitem", 500, 7, [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")], ["l_orderkey", "l_linenumber", "l_partkey"])
     return got["customer"].select("c_custkey", "c_nationkey")
 
 
-_add("sample_referential_r18", _sample)
+_add(
+    "sample_referential_r18",
+    _sample,
+    "select c_custkey, c_nationkey from customer where c_custkey in (select o_custkey from orders where o_orderkey in (select l_orderkey from"
+    " (select l_orderkey from lineitem order by md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_orderkey, l_linenumber, l_partkey limit 500)))",
+)
 _add("sink_text_r13", lambda spark, sf_dir: text_rows(Engine(spark, sf_dir).algebra("select([s_suppkey, s_name, s_acctbal, (s_nationkey > 10) as far], supplier)")), "select s_suppkey || '|' || s_name || '|' || printf('%.6f', s_acctbal) || '|' || case when s_nationkey > 10 then 't' else 'f' end as line from supplier")
 
 # relational core
@@ -67,7 +72,11 @@ _add("groupby_nokey_r26", "groupby([count() as n, min(p_size) as s], [], part)",
 _add("dedup_r27", "dedup(select([p_brand, p_size], part))", "select distinct p_brand, p_size from part")
 _add("orderby_r28", "orderby([o_totalprice desc, o_orderkey], select([o_orderkey, o_totalprice], orders))", "select o_orderkey, o_totalprice from orders order by 2 desc, 1")
 _add("limit_topk_r29", "limit(20, orderby([o_totalprice desc, o_orderkey], select([o_orderkey, o_totalprice], orders)))", "select o_orderkey, o_totalprice from orders order by 2 desc, 1 limit 20")
-_add("rownum_w1", "select([n_nationkey, row_number() as rn], orderby([n_nationkey], nation))", "select n_nationkey, row_number() over (order by n_nationkey) as rn from nation")
+_add(
+    "rownum_w1",
+    "select([l_orderkey, l_linenumber, row_number() as rn], orderby([l_orderkey, l_linenumber], dedup(select([l_orderkey, l_linenumber], lineitem))))",
+    "select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) as rn from (select distinct l_orderkey, l_linenumber from lineitem)",
+)
 
 # layouts
 _add("list_l1", "alist(nation, atuple([ascalar(0.n_nationkey as k), ascalar((0.n_regionkey * 10) as r)], cross))", "select n_nationkey as k, (n_regionkey * 10)::bigint as r from nation")
@@ -92,7 +101,12 @@ _add("join_range_j5", "select([s_suppkey, n_nationkey], join(s_acctbal > n_natio
 _add("semi_j9", "select([c_custkey], filter(exists(filter(o_custkey = c_custkey && o_totalprice > 300000.0, orders)), customer))", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 _add("anti_j10", "select([c_custkey], filter(not exists(filter(o_custkey = c_custkey, orders)), customer))", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 _add("self_join_j11", "select([a, b], join(ra = rb && a < b, select([n_nationkey as a, n_regionkey as ra], nation), select([n_nationkey as b, n_regionkey as rb], nation)))", "select x.n_nationkey as a, y.n_nationkey as b from nation x, nation y where x.n_regionkey = y.n_regionkey and x.n_nationkey < y.n_nationkey")
-_add("join_elim_j12", "dedup(select([k, o_orderstatus], join(k = o_custkey, dedup(select([o_custkey as k], orders)), orders)))", "select distinct o_custkey as k, o_orderstatus from orders")
+_NULLS = "select([if o_custkey % 5 = 0 then null:int else o_custkey as ck, o_orderstatus], orders)"
+_add(
+    "join_elim_j12",
+    f"dedup(select([k, o_orderstatus], join(k = ck, dedup(select([ck as k], {_NULLS})), {_NULLS})))",
+    "select distinct o_custkey as k, o_orderstatus from orders where o_custkey % 5 <> 0",
+)
 
 # aggregates
 _add("agg_count_a1", "select([count() as n], orders)", "select count(*) as n from orders")
@@ -135,7 +149,21 @@ _add("suffix_f26", 'select([p_partkey], filter(strpos(p_type, "COPPER") = strlen
 # subqueries, parameters, rewrites
 _add("scalar_subq_q1", "select([s_suppkey, s_acctbal], filter(s_acctbal = (select([max(b) as m], select([s_acctbal as b], supplier))), supplier))", "select s_suppkey, s_acctbal from supplier where s_acctbal = (select max(s_acctbal) from supplier)")
 _add("exists_q2", "select([n_name, if exists(filter(s_nationkey = n_nationkey && s_acctbal > 9000.0, supplier)) then 1 else 0 as rich], nation)", "select n_name, case when exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > 9000) then 1 else 0 end::bigint as rich from nation")
-_add("corr_agg_q4", "select([p_partkey], filter(p_retailprice > (select([avg(q.price) as a], filter(q.brand = p_brand, q))), part))".replace("avg(q.price)", "avg(price)").replace("q.brand", "brand").replace(", q)", ", select([p_brand as brand, p_retailprice as price], part))"), "select p_partkey from part p where p_retailprice > (select avg(p_retailprice) from part q where q.p_brand = p.p_brand)")
+_add(
+    "corr_agg_q4",
+    "select([p_partkey], filter(p_retailprice > (select([avg(price) as a], filter(brand = p_brand, select([p_brand as brand, p_retailprice as price], part)))), part))",
+    "select p_partkey from part p where p_retailprice > (select avg(p_retailprice) from part q where q.p_brand = p.p_brand)",
+)
+_add(  # the subquery's own p_retailprice hides the outer one
+    "corr_hidden_q3",
+    "select([p_partkey], filter(p_retailprice > (select([(1.1 * avg(p_retailprice)) as a], filter(b = p_brand, select([p_brand as b, p_retailprice], part)))), part))",
+    "select p_partkey from part p where p_retailprice > (select 1.1 * avg(q.p_retailprice) from part q where q.p_brand = p.p_brand)",
+)
+_add(
+    "corr_count_q4",
+    "select([c_custkey], filter((select([count() as n], filter(k = c_custkey, select([o_custkey as k], orders)))) < 8, customer))",
+    "select c_custkey from customer where (select count(*) from orders where o_custkey = c_custkey) < 8",
+)
 _add("params_e8", "select([o_orderkey, o_totalprice], filter(o_orderdate >= lo && o_totalprice > least, orders))", "select o_orderkey, o_totalprice from orders where o_orderdate >= date '1997-01-01' and o_totalprice > 250000.5", lo=__import__("datetime").date(1997, 1, 1), least=250000.5)
 
 
@@ -180,6 +208,36 @@ _money("tpch_q15", f'select([s_suppkey, s_name, total], filter(total = (select([
 _money("tpch_q17", 'select([(sum(l_extendedprice) / 7.0) as yearly], filter(l_quantity < (select([(0.2 * avg(q)) as a], filter(k = p_partkey, select([l_partkey as k, l_quantity as q], lineitem)))), join(l_partkey = p_partkey, lineitem, filter(p_brand = "Brand#8", part))))', "select round(sum(l_extendedprice) / 7.0, 2) as yearly from lineitem l, part where p_partkey = l_partkey and p_brand = 'Brand#8' and l_quantity < (select 0.2 * avg(l_quantity) from lineitem i where i.l_partkey = p_partkey)", "yearly")
 _money("tpch_q18", "limit(100, orderby([o_totalprice desc, o_orderkey], select([c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, q], join(o_custkey = c_custkey, join(o_orderkey = k, orders, filter(q > 200, groupby([k, sum(v) as q], [k], select([l_orderkey as k, l_quantity as v], lineitem)))), customer))))", "select c_name, c_custkey, o_orderkey, o_orderdate::date as o_orderdate, o_totalprice, round(sum(l_quantity), 2) as q from customer, orders, lineitem where c_custkey = o_custkey and o_orderkey = l_orderkey group by 1, 2, 3, 4, 5 having sum(l_quantity) > 200 order by o_totalprice desc, o_orderkey limit 100", "q")
 _money("tpch_q19", f'select([sum({_REV}) as revenue], filter((p_brand = "Brand#1" && l_quantity >= 1 && l_quantity <= 11 && p_size <= 5) || (p_brand = "Brand#2" && l_quantity >= 10 && l_quantity <= 20 && p_size <= 10) || (p_brand = "Brand#3" && l_quantity >= 20 && l_quantity <= 30 && p_size <= 15), join(l_partkey = p_partkey, lineitem, part)))', f"select round(sum({_REV}), 2) as revenue from lineitem, part where l_partkey = p_partkey and ((p_brand = 'Brand#1' and l_quantity between 1 and 11 and p_size <= 5) or (p_brand = 'Brand#2' and l_quantity between 10 and 20 and p_size <= 10) or (p_brand = 'Brand#3' and l_quantity between 20 and 30 and p_size <= 15))", "revenue")
+_add(  # lineitem stands for the offers of suppliers
+    "tpch_q2",
+    "select([p_partkey, s_name, l_extendedprice], filter(l_extendedprice = (select([min(e) as m], filter(k = p_partkey,"
+    " select([l_partkey as k, l_extendedprice as e], lineitem)))), join(l_suppkey = s_suppkey, join(l_partkey = p_partkey, lineitem, filter(p_size = 15, part)), supplier)))",
+    "select p_partkey, s_name, l_extendedprice from lineitem, part, supplier where l_partkey = p_partkey and l_suppkey = s_suppkey and p_size = 15"
+    " and l_extendedprice = (select min(l_extendedprice) from lineitem where l_partkey = p_partkey)",
+)
+_add(
+    "tpch_q4",
+    'groupby([o_orderpriority, count() as n], [o_orderpriority], filter(o_orderdate >= date("1996-07-01") && o_orderdate < date("1996-07-01") + month(3)'
+    " && exists(filter(l_orderkey = o_orderkey && l_shipdate > o_orderdate + day(60), lineitem)), orders))",
+    "select o_orderpriority, count(*) as n from orders where o_orderdate >= date '1996-07-01' and o_orderdate < date '1996-10-01'"
+    " and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate > o_orderdate + interval 60 day) group by 1",
+)
+_add(
+    "tpch_q20",
+    "select([s_name], filter(exists(filter(l_suppkey = s_suppkey && l_quantity > (select([(1.6 * avg(q)) as a], filter(k = l_partkey,"
+    " select([l_partkey as k, l_quantity as q], lineitem)))), lineitem)), supplier))",
+    "select s_name from supplier where exists (select 1 from lineitem l where l_suppkey = s_suppkey"
+    " and l_quantity > (select 1.6 * avg(l_quantity) from lineitem i where i.l_partkey = l.l_partkey))",
+)
+_OTHER = "select([l_orderkey as k, l_suppkey as s, l_shipdate as d], lineitem)"
+_add(
+    "tpch_q21",
+    f"groupby([s_name, count() as n], [s_name], filter(exists(filter(k = l_orderkey && not(s = l_suppkey), {_OTHER}))"
+    f" && not(exists(filter(k = l_orderkey && not(s = l_suppkey) && d > l_shipdate, {_OTHER}))), join(s_suppkey = l_suppkey, supplier, lineitem)))",
+    "select s_name, count(*) as n from supplier, lineitem l where s_suppkey = l_suppkey"
+    " and exists (select 1 from lineitem o where o.l_orderkey = l.l_orderkey and o.l_suppkey <> l.l_suppkey)"
+    " and not exists (select 1 from lineitem o where o.l_orderkey = l.l_orderkey and o.l_suppkey <> l.l_suppkey and o.l_shipdate > l.l_shipdate) group by 1",
+)
 _money("tpch_q22", "groupby([c_nationkey, count() as n, sum(c_acctbal) as total], [c_nationkey], filter(c_acctbal > (select([avg(b) as a], filter(b > 0.0, select([c_acctbal as b], customer)))) && not exists(filter(o_custkey = c_custkey, orders)), customer))", "select c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as total from customer c where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and not exists (select 1 from orders where o_custkey = c_custkey) group by 1", "total")
 
 # the SQL front-end
@@ -194,6 +252,10 @@ _sql("between_g8", "select p_partkey from part where p_size between 5 and 9 and
 _sql("case_g9", "select o_orderkey, case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end as s from orders", "orders")
 _sql("exists_g10", "select s_suppkey from supplier where not exists (select 1 from lineitem where l_suppkey = s_suppkey and l_quantity > 49)", "supplier lineitem")
 _sql("count_distinct_g11", "select l_returnflag, count(distinct l_suppkey) as n from lineitem group by l_returnflag", "lineitem")
+_sql("shifts_g12", "select n_nationkey, shiftleft(n_nationkey, 2) as l, shiftright(n_nationkey, 1) as r, ~n_nationkey as x from nation", "nation", "select n_nationkey, (n_nationkey::int << 2)::int as l, (n_nationkey::int >> 1)::int as r, (~n_nationkey::int)::int as x from nation")
+_sql("regexp_g6", "select p_partkey from part where p_name rlike '^[a-f].*[0-9]$' or p_type rlike 'COPPER|TIN'", "part", "select p_partkey from part where regexp_matches(p_name, '^[a-f].*[0-9]$') or regexp_matches(p_type, 'COPPER|TIN')")
+_sql("using_join_g3", "select c_custkey, o_orderkey from (select c_custkey, c_custkey as k from customer) right join (select o_orderkey, o_custkey as k from orders) using (k)", "customer orders")
+_sql("cast_e11", "select cast(o_totalprice as bigint) as a, cast(o_orderkey as string) as b, cast('12' as int) as c from orders where o_totalprice = floor(o_totalprice) or o_orderkey < 100", "orders", "select cast(trunc(o_totalprice) as bigint) as a, cast(o_orderkey as varchar) as b, cast('12' as int) as c from orders where o_totalprice = floor(o_totalprice) or o_orderkey < 100")
 _sql("bits_g12", "select n_nationkey, (n_nationkey & 6) as a, (n_nationkey | 1) as o, n_name || '!' as x from nation", "nation")
 _sql("substring_g13", "select n_nationkey, substring(n_name, 2) as a, substring(n_name, 2, 3) as b, upper(n_name) as u from nation", "nation")
 _sql("interval_g14", "select count(*) as n from orders where o_orderdate >= date '1996-01-01' and o_orderdate < date '1996-01-01' + interval 3 month", "orders")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime
 import itertools
+import tempfile
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars
 from tessella.plans.tree import (
-    Aggregate, AlgebraError, Binary, Dedup, DepJoin, Empty, Exists, Filter, First, GroupBy, HashIndex, If, Join, Limit, ListOf, Literal, Name, One, OrderBy, OrderedIndex, Range, Relation, Scalar, Select, Substring, TupleOf, Unary, children, conjuncts, has_aggregate, has_window, rebuild,
+    Aggregate, AlgebraError, Binary, Dedup, DepJoin, Empty, Exists, Filter, First, GroupBy, HashIndex, If, Join, Limit, ListOf, Literal, Name, One, OrderBy, OrderedIndex, Range, Relation, Scalar, Select, Substring, TupleOf, Unary, children, conjunction, conjuncts, has_aggregate, has_window, rebuild,
 )
 
 _FRESH = itertools.count()
@@ -66,6 +67,19 @@ class Context:
 NONE = Context()
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: the one that spark.checkpoint.dir names; a local one only where everything runs in one process."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise AlgebraError("row_number() needs spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="tessella-")
+    sc.setCheckpointDir(folder)
+
+
 def find(cols: tuple[Col, ...], n: Name) -> Col | None:
     own = [c for c in cols if c.name == n.column and (n.relation is None or c.relation == n.relation)]
     if len(own) > 1:
@@ -92,31 +106,58 @@ class Builder:
                 return c
         return None
 
-    def used(self, node: Any, ctx: Context) -> set[str]:
-        """The context's columns that a tree uses (a superset where names are hidden by inner relations)."""
+    def schema(self, node: Any) -> tuple[Col, ...]:
+        """The names that a relation's columns have, as far as they are known without building it."""
+        if isinstance(node, Relation):
+            return tuple(Col(c, node.name, c) for c in self.catalog.table(self.spark, node.name)[0].columns)
+        if isinstance(node, (Select, GroupBy)):
+            return tuple(Col(n, None, n) for _, n in node.items)
+        if isinstance(node, (Filter, Dedup, OrderBy, Limit)):
+            return self.schema(node.source)
+        if isinstance(node, Join):
+            return self.schema(node.left) + self.schema(node.right)
+        if isinstance(node, (DepJoin, ListOf)):
+            return self.schema(node.right if isinstance(node, DepJoin) else node.values)
+        if isinstance(node, Scalar):
+            return (Col(node.name, None, node.name),)
+        return ()
+
+    def used(self, node: Any, ctx: Context, inner: tuple[Col, ...] = ()) -> set[str]:
+        """The context's columns that a tree uses. A name that a relation below it (or ``inner``) has is that relation's."""
         out: set[str] = set()
 
-        def walk(x: Any, depth: int) -> None:
+        def has(cols: tuple[Col, ...], n: Name) -> bool:
+            return any(c.name == n.column and (n.relation is None or c.relation == n.relation) for c in cols)
+
+        def walk(x: Any, depth: int, below: tuple[Col, ...]) -> None:
             if isinstance(x, Name):
                 if x.scope is not None:
                     if x.scope >= depth:
                         c = self.outer(replace(x, scope=x.scope - depth), ctx)
                         out.add(c.own)
-                elif c := self.outer(x, ctx):
+                elif not has(below, x) and (c := self.outer(x, ctx)):
                     out.add(c.own)
                 return
             if isinstance(x, (DepJoin, ListOf, HashIndex, OrderedIndex)):
                 first, second = (x.left, x.right) if isinstance(x, DepJoin) else (x.keys, x.values)
-                walk(first, depth)
-                walk(second, depth + 1)
+                walk(first, depth, below)
+                walk(second, depth + 1, below)
                 for y in children(x):
                     if y is not first and y is not second:
-                        walk(y, depth)
+                        walk(y, depth, below)
                 return
+            own = below
+            if isinstance(x, (Select, GroupBy, Filter, OrderBy)):
+                own = below + self.schema(x.source)
+                if isinstance(x, Filter) and isinstance(x.source, GroupBy):
+                    own += self.schema(x.source.source)  # HAVING sees both
+            elif isinstance(x, Join):
+                own = below + self.schema(x.left) + self.schema(x.right)
             for y in children(x):
-                walk(y, depth)
+                source = any(y is z for z in (getattr(x, "source", None), getattr(x, "left", None), getattr(x, "right", None)) if z is not None)
+                walk(y, depth, below if source and own is not below else own)
 
-        walk(node, 0)
+        walk(node, 0, inner)
         return out
 
     def expr(self, e: Any, rel: Rel, ctx: Context, subs: dict[Any, Column] | None = None) -> Column:
@@ -225,9 +266,95 @@ class Builder:
             subs[q] = value
         return rel, subs
 
+    def _peel(self, node: Any, here: Context) -> tuple[Rel, list[Any], Any] | None:
+        """A filter chain over an uncorrelated relation: that relation with the uncorrelated tests, the correlated tests, and its tree. None if the
+        correlation lies deeper or names a binder."""
+        tests: list[Any] = []
+        while isinstance(node, Filter) and not (isinstance(node.source, GroupBy) and has_aggregate(node.test)):
+            tests += conjuncts(node.test)
+            node = node.source
+        if self.used(node, here):
+            return None
+        cols = self.schema(node)
+        if not cols:
+            return None
+        own = [t for t in tests if not self.used(t, here, cols)]
+        corr = [t for t in tests if self.used(t, here, cols)]
+        if any(any(True for _ in self._subqueries(t)) or any(isinstance(x, Name) and x.scope is not None for x in _walk(t)) for t in corr):
+            return None
+        return self.build(Filter(conjunction(own), node) if own else node, NONE), corr, node
+
+    def _equal(self, t: Any, inner: tuple[Col, ...], here: Context) -> tuple[Any, Any] | None:
+        """(inner side, outer side) of an equality between them."""
+        if not (isinstance(t, Binary) and t.op == "="):
+            return None
+
+        def inside(e: Any) -> bool:
+            return not self.used(e, here, inner)
+
+        def outside(e: Any) -> bool:
+            return not any(isinstance(x, Name) and find(inner, x) for x in _walk(e))
+
+        for a, b in ((t.left, t.right), (t.right, t.left)):
+            if inside(a) and outside(b):
+                return a, b
+        return None
+
+    def _here(self, rel: Rel, ctx: Context) -> Context:
+        return Context((Scope(rel.cols, False), *ctx.scopes), rel.df, tuple(dict.fromkeys((*[c.own for c in rel.cols], *rel.context))))
+
+    def _semi(self, q: Exists, rel: Rel, ctx: Context, how: str) -> Rel | None:
+        """exists as one semi or anti join on the subquery's own correlated tests, where it has this form."""
+        node = q.query
+        while isinstance(node, (Dedup, OrderBy)) or isinstance(node, Select) and not any(has_aggregate(e) or has_window(e) or any(True for _ in self._subqueries(e)) for e, _ in node.items):
+            node = node.source
+        here = self._here(rel, ctx)
+        found = self._peel(node, here)
+        if not found or not found[1]:
+            return None
+        inner, corr, _ = found
+        on = None
+        for t in corr:
+            c = self._test(t, replace(inner, df=None), inner, rel, here)
+            on = c if on is None else on & c
+        return replace(rel, df=rel.df.join(inner.df, on, how))
+
+    def _lookup(self, q: First, rel: Rel, ctx: Context) -> tuple[Rel, Column] | None:
+        """A scalar subquery correlated by equalities: its relation is grouped by its side of them and joined once."""
+        node = q.query
+        if not (isinstance(node, Select) and len(node.items) == 1):
+            return None
+        e = node.items[0][0]
+        here = self._here(rel, ctx)
+        if has_window(e) or any(True for _ in self._subqueries(e)):
+            return None
+        found = self._peel(node.source, here)
+        if not found or not found[1] or self.used(e, here, found[0].cols) or any(isinstance(x, Name) and x.scope is not None for x in _walk(e)):
+            return None
+        inner, corr, _ = found
+        pairs = [self._equal(t, inner.cols, here) for t in corr]
+        if None in pairs:
+            return None
+        keys = [fresh("k") for _ in pairs]
+        x, name, count = self.expr(e, inner, NONE), fresh("q"), fresh("n")
+        value = x if has_aggregate(e) else F.first(x)
+        grouped = inner.df.groupBy(*[self.expr(a, inner, NONE).alias(k) for (a, _), k in zip(pairs, keys)]).agg(value.alias(name), F.count(F.lit(1)).alias(count))
+        on = None
+        for (_, b), k in zip(pairs, keys):
+            c = F.col(k) == self.expr(b, Rel(rel.df, ()), here)
+            on = c if on is None else on & c
+        out = F.col(name)
+        if not has_aggregate(e):
+            out = F.when(F.col(count) > 1, F.raise_error(F.lit("a scalar subquery gave more than one row"))).otherwise(out)
+        elif (blank := self._blank(e)) is not None:
+            out = F.when(F.col(count).isNull(), blank).otherwise(out)
+        return replace(rel, df=rel.df.join(grouped, on, "left").drop(*keys)), out
+
     def subquery(self, q: Any, rel: Rel, ctx: Context) -> tuple[Rel, Column]:
         outer_used = self.used(q.query, ctx)
         rel = self.lift(rel, ctx, bool(outer_used))
+        if isinstance(q, First) and (found := self._lookup(q, rel, ctx)):
+            return found
         scope = Scope(rel.cols, False)
         inner = Context((scope, *ctx.scopes), rel.df, tuple(dict.fromkeys((*[c.own for c in rel.cols], *rel.context))))
         used = self.used(q.query, inner)
@@ -300,7 +427,9 @@ class Builder:
         if isinstance(inner, Exists):  # a semi or anti join
             outer_used = self.used(inner.query, ctx)
             rel = self.lift(rel, ctx, bool(outer_used))
-            here = Context((Scope(rel.cols, False), *ctx.scopes), rel.df, tuple(dict.fromkeys((*[c.own for c in rel.cols], *rel.context))))
+            if joined := self._semi(inner, rel, ctx, how):
+                return joined
+            here = self._here(rel, ctx)
             used = self.used(inner.query, here)
             if used:
                 small, to = self.distinct(here, used)
@@ -352,12 +481,14 @@ class Builder:
         return Rel(rel.df.select(*rel.context, *out), tuple(cols), rel.context, frozenset(dates) | (rel.date & set(rel.context)))
 
     def _numbered(self, rel: Rel, own: str) -> Rel:
-        """Row numbers without one task for all rows: numbers within partitions, plus the rows of the partitions before."""
+        """Row numbers without one task for all rows: numbers within partitions, plus the rows of the partitions before. The rows are written to
+        the checkpoint folder once, so that numbers and counts see the same partitions whatever the optimiser does."""
         if rel.context:
             w = Window.partitionBy(*rel.context).orderBy(F.lit(1))
             return replace(rel, df=rel.df.withColumn(own, F.row_number().over(w).cast("bigint")))
         mid, part, before = fresh("m"), fresh("p"), fresh("b")
-        df = rel.df.withColumn(mid, F.monotonically_increasing_id()).withColumn(part, F.shiftright(mid, 33))
+        checkpoint_folder(self.spark)
+        df = rel.df.checkpoint().withColumn(mid, F.monotonically_increasing_id()).withColumn(part, F.shiftright(mid, 33))
         n = df.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
         n = n.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
         df = df.join(F.broadcast(n), part).withColumn(own, F.col(before) + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1)) + 1)  # a row for each partition

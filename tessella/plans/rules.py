@@ -82,7 +82,9 @@ def drop_joins(node: Any) -> Any:
                 def swap(x):
                     return of[x.column] if isinstance(x, Name) and x.column in of and x.scope is None else rebuild(x, swap)
 
-                return Dedup(Select(tuple((swap(e), n) for e, n in sel.items), other))
+                # the join leaves out null keys: k = k holds for all others
+                kept = conjunction([Binary("=", k, k) for k in dict.fromkeys(of.values())])
+                return Dedup(Select(tuple((swap(e), n) for e, n in sel.items), Filter(kept, other)))
     return node
 
 

@@ -84,7 +84,7 @@ def text_rows(df: DataFrame, separator: str = "|") -> DataFrame:
         if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
             return F.format_string("%.6f", c.cast("double"))
         if isinstance(kind, T.BooleanType):
-            return F.when(c, "t").otherwise("f")
+            return F.when(c, "t").when(~c, "f")
         return c.cast("string")
 
     return df.select(F.concat_ws(separator, *[F.coalesce(cell(f.name, f.dataType), F.lit("null")) for f in df.schema.fields]).alias("line"))
@@ -97,6 +97,15 @@ def write_layout(df: DataFrame, path: str, keys: list[str], ordered: bool) -> No
     dealt.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def write_result(df: DataFrame, path: str) -> None:
+    """A result as one folder of Parquet files, with its column names and types."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n random rows (a sampling operator)."""
     return df.orderBy(F.rand(seed)).limit(n)
@@ -106,10 +115,10 @@ def prefix_sample(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def star_sample(tables: dict[str, DataFrame], fact: str, n: int, seed: int, links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
-    """n rows of the fact table by hash, and of the others the rows they refer to. links: (from, column, to, column), in order."""
-    fact_df = tables[fact]
-    out = {fact: fact_df.orderBy(F.xxhash64(F.lit(seed), *fact_df.columns), *fact_df.columns).limit(n)}
+def star_sample(tables: dict[str, DataFrame], fact: str, n: int, seed: int, links: list[tuple[str, str, str, str]], key: list[str]) -> dict[str, DataFrame]:
+    """n rows of the fact table by hash of its key columns, and of the others the rows they refer to. links: (from, column, to, column), in order."""
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    out = {fact: tables[fact].orderBy(hashed, *key).limit(n)}
     for a, x, b, y in links:
         out[b] = tables[b].join(out[a].select(F.col(x).alias(y)).distinct(), y, "left_semi")
     return out
