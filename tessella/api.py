@@ -99,14 +99,14 @@ class Engine:
         import threading
         import uuid
 
-        tag, late = f"within-{uuid.uuid4().hex}", threading.Event()
+        sc, group, late = self.spark.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
             late.set()
-            self.spark.interruptTag(tag)
+            sc.cancelJobGroup(group)
 
         timer = threading.Timer(seconds, stop)
-        self.spark.addTag(tag)
+        sc.setJobGroup(group, "a query with a time limit", interruptOnCancel=True)
         timer.start()
         try:
             return df.collect()
@@ -116,4 +116,5 @@ class Engine:
             raise
         finally:
             timer.cancel()
-            self.spark.removeTag(tag)
+            for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                sc.setLocalProperty(key, None)

@@ -60,15 +60,6 @@ def test_row_numbers_with_many_partitions(spark, con, advisory):
             spark.conf.set(k, v)
 
 
-def test_late_queries_are_cancelled(spark):
-    from tessella.api import Engine
-
-    slow = spark.range(0, 400_000_000_000, 1, 40_000).selectExpr("sum(hash(id)) as x")  # many short tasks
-    with pytest.raises(TimeoutError):
-        Engine(spark, FOLDER).within(slow, 1.0)
-    assert Engine(spark, FOLDER).within(spark.range(3), 30.0) == [(0,), (1,), (2,)]
-
-
 def test_results_are_read_back(spark, tmp_path):
     from tessella.api import Engine
     from tessella.sources.catalog import read_result, text_rows, write_result
