@@ -6,8 +6,9 @@ siblings. Boosted trees give the odds that it is main text. The decoding takes t
 to its children; a dropped block has no kept descendant and a kept one no dropped descendant, and the best total of odds wins.
 
 The trees are trained here, on pages that ``synthetic_page`` writes from a seed, in many layouts whose parts are known; no page of the input is used.
-Null pages and pages without main text give the empty string. Repeated rows are extracted each; other columns are dropped;
-an empty table gives no rows.
+Null pages and pages without main text give the empty string. Choices of equal worth drop the block. Attributes of any form, repeated or
+broken, are read as far as they are class, id or role and otherwise ignored. Repeated rows are extracted each; other columns are
+dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, tidied
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"(?<![\w-])data-y=\"([01])\"")
 _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 _END = re.compile(r"[.!?…](?:\s|$)")
 _SPACE = re.compile(r"\s+")
@@ -50,8 +52,9 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-def parse(page: str) -> list[Node]:
-    """The blocks of a page in order; the first is the root. Unclosed and stray tags are taken as browsers mostly do."""
+def parse(page: str, marked: bool = False) -> list[Node]:
+    """The blocks of a page in order; the first is the root. Unclosed and stray tags are taken as browsers mostly do. marked: the page is
+    one of synthetic_page's, whose blocks say in an attribute whether they are main text."""
     root = Node("html", (), None, None)
     nodes, at, here, anchor = [root], 0, root, 0
     skip = None
@@ -129,11 +132,10 @@ def parse(page: str) -> list[Node]:
                 own = []
                 for a in _ATTR.finditer(m[3]):
                     v = a[2] or a[3] or a[4] or ""
-                    if a[1] == "data-y":
-                        y = int(v)
-                    else:
-                        own += [w.lower() for w in _PART.findall(v)]
+                    own += [w.lower() for w in _PART.findall(v)]
                 tokens = tuple(own)
+                if marked and (mark := _MARK.search(m[3])):
+                    y = int(mark[1])
             node = Node(name, tokens, here, y if y is not None else here.y)
             here.parts.append(node)
             here.kids.append(node)
@@ -418,7 +420,7 @@ def train(pages: int = 700, seed: int = 11) -> Trees:
         r = random.Random(seed)
         xs, ys, ws = [], [], []
         for _ in range(pages):
-            nodes = parse(synthetic_page(r))
+            nodes = parse(synthetic_page(r), marked=True)
             f = features(nodes)
             for v, row in zip(nodes, f):
                 if v.y is not None:
@@ -451,14 +453,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     sent = pages.sparkSession.sparkContext.broadcast(train())
 
     def run(batches):
-        for b in batches:
-            html = b.column(2).to_pylist()
-            text: list[str] = []
-            for a in range(0, len(html), 64):
-                text += extract(html[a : a + 64], sent.value)
+        for b in (b for batch in batches for b in slices(batch, 2, 1_000_000)):
+            text = extract(b.column(2).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
