@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained, one on ordinary text, one on what sets t
 n-grams are in toxic documents many times as often as in ordinary ones, by a likelihood-ratio test over documents (near copies count
 once). A text is cut into windows of a word; each is compressed with the ordinary dictionary and with the toxic
 dictionary put before the ordinary one. A window that the latter shortens holds something that toxic text has and ordinary text
-does not. A logistic curve over the bytes saved, fitted on the training sample, calibrates the score.
+does not; it is looked at again in windows of one word, which tells such words from savings that add up by chance. A logistic curve over the bytes saved, fitted on the training sample, calibrates the score.
 
 Only a bounded sample of labelled rows is used to fit (``per_class`` documents of each label, by hash of doc_id); every
 whole text is scored, in one pass without a shuffle. Null and empty texts score like a text that saves nothing. Without
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, tidied
 
-WINDOW, GRAM = 64, 5
+WINDOW, GRAM = 48, 5
 #: Both dictionaries end with it and every window ends with it: a block pays its headers under either, and no match is lost to
 #: the last bytes of a block, where zstandard starts none.
 LEAD = b"#0123456789abcdef0123456789ABCDEF#"
@@ -40,10 +40,21 @@ def plain(text: str | None) -> bytes:
 
 
 def windows(b: bytes, size: int = WINDOW) -> list[bytes]:
-    """The whole text in windows of one word each; words over the size are cut with an overlap."""
-    out = b.split()
-    if max(map(len, out), default=0) > size:
-        out = [w[i : i + size] for w in out for i in range(0, max(1, len(w) - 16), size - 16)]
+    """The whole text in windows of as many whole words as fit; longer words are cut with an overlap."""
+    out, own, n = [], [], 0
+    for w in b.split():
+        if len(w) > size:
+            parts = [w[i : i + size] for i in range(0, max(1, len(w) - 16), size - 16)]
+        else:
+            parts = (w,)
+        for x in parts:
+            if n + len(x) >= size and own:
+                out.append(b" ".join(own))
+                own, n = [], 0
+            own.append(x)
+            n += len(x) + 1
+    if own:
+        out.append(b" ".join(own))
     return out
 
 
@@ -79,7 +90,7 @@ class Model:
 
     def __init__(self, ordinary: bytes, toxic: bytes, weights: list[float]):
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
-        self._c, self._saved = None, {}
+        self._c, self._known = None, {}
 
     def __getstate__(self):
         return (self.ordinary, self.toxic, self.weights)
@@ -102,20 +113,28 @@ class Model:
 
     def saved(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves on a window."""
-        d = self._saved.get(window)
+        ordinary, both = self._compressors()
+        w = b" " + window + b" " + LEAD
+        return len(ordinary(w)) - len(both(w))
+
+    def _word(self, word: bytes) -> int:
+        """saved() of one word, kept for a while."""
+        d = self._known.get(word)
         if d is None:
-            if len(self._saved) >= 300_000:
-                self._saved.clear()
-            ordinary, both = self._compressors()
-            w = b" " + window + b" " + LEAD
-            d = self._saved[window] = len(ordinary(w)) - len(both(w))
+            if len(self._known) >= 200_000:
+                self._known.clear()
+            d = self._known[word] = self.saved(word)
         return d
 
     def features(self, text: str | None) -> list[float]:
-        """How many windows save 2, 3 and 4 bytes, as logarithms; windows that save 3, in a hundred; the most saved."""
-        own = [self.saved(w) for w in windows(plain(text))]
-        n = [sum(d >= k for d in own) for k in (2, 3, 4)]
-        return [*map(math.log1p, n), min(10.0, 100 * n[1] / max(len(own), 1)), float(max(own, default=0) if n[0] else 0)]
+        """How many windows save 4 bytes, how many of the words of windows that save anything save 2, 3 and 4, as logarithms; words that save 3, in a
+        hundred; the most that a word saves."""
+        own = windows(plain(text))
+        gains = [self.saved(w) for w in own]
+        fine = [self._word(x) for w, d in zip(own, gains) if d > 0 for x in w.split()]
+        n = [sum(d >= k for d in fine) for k in (2, 3, 4)]
+        size = sum(w.count(b" ") + 1 for w in own)
+        return [math.log1p(sum(d >= 4 for d in gains)), *map(math.log1p, n), min(10.0, 100 * n[1] / max(size, 1)), float(max(fine, default=0) if n[0] else 0)]
 
     def score(self, text: str | None) -> float:
         if not self.weights:
@@ -153,7 +172,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None,
                 own.add(w[at:end])
         spans.update(own)
     if not spans:
-        spans.update({w: 1 for t in toxic for w in windows(t)})
+        spans.update({w: 1 for t in toxic for w in t.split()})
 
     def train(samples: list[bytes], size: int) -> bytes:
         try:
@@ -161,7 +180,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None,
         except z.ZstdError:  # too few samples for the trainer
             return b"".join(dict.fromkeys(samples))[-size:]
 
-    common = [b" " + w + b" " for t in ordinary for w in windows(t)][:200_000]
+    common = [b" " + w + b" " for t in ordinary for w in t.split()][:200_000]
     kept = [s for s, k in spans.most_common() if k >= max(1, 0.005 * n1)] or list(spans)
     # the trainer weighs fragments by how often they are given: as often as documents hold them
     trained = train([s for s in kept for _ in range(spans[s])], dictionary)
@@ -187,13 +206,14 @@ def fit(texts: list[str | None], labels: list[int], prior: float | None = None,
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list, list[int], float | None]:
     """Texts and labels, and the share of label 1 in all such rows, of at most per_class rows of each label, those with the least hash of doc_id, from the rows whose
-    crc32(doc_id) mod 5 is not 0; the same label twice for a document counts once, contradictory labels not at all."""
+    crc32(doc_id) mod 5 is not 0; of documents with one doc_id the least text counts; the same label twice for a document counts once, contradictory labels not at all."""
     own = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     own = own.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y1")).where("y = y1")
     picked = [own.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "y") for k in (0, 1)]
     both = picked[0].union(picked[1])  # at most 2 * per_class rows
     n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
-    rows = documents.select("doc_id", "text").join(F.broadcast(both), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(both), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return [r["text"] for r in rows], [int(r["y"]) for r in rows], (n.get(1, 0) / sum(n.values()) if len(n) == 2 else None)
 
 
@@ -206,12 +226,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def run(batches):
-        m = sent.value
-        for b in batches:
-            s = [m.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+        m, k = sent.value, names.index("text")
+        for b in (b for batch in batches for b in slices(batch, k)):
+            s = [m.score(t) for t in b.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*names, "score", "predicted"])
+        m._known.clear()
 
-    return documents.mapInArrow(run, f"{kinds}, {extra}")
+    return documents.mapInArrow(tidied(run), f"{kinds}, {extra}")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str, per_class: int = 1500) -> DataFrame:
