@@ -148,14 +148,15 @@ def _text_key(data: bytes) -> int:
 
 
 def _count(width: int):
-    """Anchor and content hashes of all runs of all texts."""
+    """Anchor and content hashes of all runs of all texts, with their number in a slice of the texts."""
 
     def run(batches):
         for batch in batches:
             for b in slices(batch, 0):
                 own = [runs(_bytes(t), width)[:2] for t in b.column(0).to_pylist() if t]
                 a, r = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.uint64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([_signed(a), _signed(r)], names=["a", "r"])
+                _, at, c = np.unique(_pair(a, r), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(a[at]), _signed(r[at]), pa.array(c)], names=["a", "r", "c"])
 
     return tidied(run)
 
@@ -164,9 +165,19 @@ def _pair(a: np.ndarray, r: np.ndarray) -> np.ndarray:
     return a ^ (r << np.uint64(1))
 
 
+def _joined(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches in order of their starts, those that meet as one."""
+    if not len(start):
+        return start, stop
+    reach = np.maximum.accumulate(stop)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return start[first], reach[np.concatenate([first[1:], [len(start)]]) - 1]
+
+
 def _collect(width: int, want):
     """The runs with repeated anchors, once for each text that the task remembers; of runs with rivals also their bytes, if
-    the task has not just given them. want: broadcast bitmaps of repeated anchors and of runs with rivals."""
+    the task has not just given them. A run that a text holds several times is repeated whole: its stretches are given joined, without an
+    anchor, and the run itself once. want: broadcast bitmaps of repeated anchors and of runs with rivals."""
 
     def run(batches):
         repeated, several = want.value
@@ -175,6 +186,7 @@ def _collect(width: int, want):
         for batch in batches:
             for b in slices(batch, 0):
                 cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+                sure: list[list[np.ndarray]] = [[] for _ in range(3)]
                 segs: list[bytes | None] = []
                 for t in b.column(0).to_pylist():
                     if not t:
@@ -192,15 +204,26 @@ def _collect(width: int, want):
                         continue
                     a, r, p, s, e = (x[keep] for x in own)
                     both = _pair(a, r)
+                    _, once, back, times = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+                    if len(once) < len(both):
+                        again = times[back] > 1
+                        start, stop = _joined(s[again], e[again] + width)
+                        for c, x in zip(sure, (np.full(len(start), key, np.int64), start, stop)):
+                            c.append(x)
+                        a, r, p, s, e, both = (x[np.sort(once)] for x in (a, r, p, s, e, both))
                     slot = (mix64(both) >> np.uint64(46)).astype(np.int64)
                     send = in_bitmap(several, both) & (given[slot] != both)
                     given[slot[send]] = both[send]
-                    for c, x in zip(cols, (a, r, np.full(len(keep), key, np.int64), p, s, e)):
+                    for c, x in zip(cols, (a, r, np.full(len(a), key, np.int64), p, s, e)):
                         c.append(x)
                     segs += [data[i : j + width] if m else None for i, j, m in zip(s.tolist(), e.tolist(), send.tolist())]
                 if segs:
                     a, r, key, p, s, e = (np.concatenate(c) for c in cols)
                     yield pa.RecordBatch.from_arrays([_signed(a), _signed(r), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (p, s, e)), pa.array(segs, pa.binary())], names=["a", "r", "text_key", "p", "s", "e", "seg"])
+                if sure[0]:
+                    key, start, stop = (np.concatenate(c) for c in sure)
+                    start, stop, none = pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.nulls(len(key), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(key), start, start, stop, pa.nulls(len(key), pa.binary())], names=["a", "r", "text_key", "p", "s", "e", "seg"])
 
     return tidied(run)
 
@@ -272,7 +295,7 @@ def covered(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFram
     """(text_key, spans array<struct<start,stop>>): the repeated bytes of each different text that has any."""
     spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("text"))
-    every = docs.mapInArrow(_count(width), "a long, r long").groupBy("a", "r").agg(F.count(F.lit(1)).alias("c"))
+    every = docs.mapInArrow(_count(width), "a long, r long, c long").groupBy("a", "r").agg(F.sum("c").alias("c"))
     every = materialise(every, "runs")
     anchors = every.groupBy("a").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
     known = materialise(every.join(anchors, "a").select("a", "r", "c", "kinds"), "repeated")
@@ -289,9 +312,11 @@ def covered(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFram
     discard(segs)
     whole = known.where("c > 1").select("a", "r", F.lit(_FAR).alias("left"), F.lit(_FAR).alias("right"))
     reach = whole.union(near).groupBy("a", "r").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    sure = found.where("a is null").select("text_key", F.col("s").alias("start"), F.col("e").alias("stop"))
     own = found.drop("seg").join(reach, ["a", "r"])
     start, stop = F.col("p") - F.least(F.col("left"), F.col("p") - F.col("s")), F.col("p") + F.least(F.col("right"), F.col("e") + width - F.col("p"))
-    own = own.groupBy("text_key").agg(F.collect_set(F.struct(start.alias("start"), stop.alias("stop"))).alias("spans"))
+    own = own.select("text_key", start.alias("start"), stop.alias("stop")).union(sure)
+    own = own.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     own = materialise(own, "covered")
     discard(known, found, near)
     return own
