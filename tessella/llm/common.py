@@ -129,11 +129,20 @@ def tidy() -> None:
 
 
 def tidied(run: Callable) -> Callable:
-    """A mapInArrow function that tidies up at its end."""
+    """A mapInArrow function that tidies up at its end, unless it saw little."""
 
     def each(batches):
-        yield from run(batches)
-        tidy()
+        seen = 0
+
+        def counted():
+            nonlocal seen
+            for b in batches:
+                seen += b.nbytes
+                yield b
+
+        yield from run(counted())
+        if seen > 4_000_000:
+            tidy()
 
     return each
 
@@ -220,17 +229,26 @@ def _union_find(batches):
     yield flush()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task joins: what two rounds of local joins leave, if it is no more than this.
+ONE_TASK = 250_000
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of edges (u long, v long): one row (node, component) for each node, component its smallest node.
 
-    Each task first joins its own edges (union-find in bounded memory), fewer tasks join what those leave; then large-star and small-star rounds, which meet in
-    O(log^2 n) rounds, each written to the shared folder. A hub's edges are spread by partial minima and skew joins.
+    Each task first joins its own edges (union-find in bounded memory), fewer tasks join what those leave: a forest. One of at most one_task edges
+    is joined in one task; a larger one by large-star and small-star rounds, which meet in O(log^2 n) rounds, each written to the
+    shared folder. A hub's edges are spread by partial minima and skew joins.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     few = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
     e = e.mapInArrow(_union_find, "u long, v long").repartition(few).mapInArrow(_union_find, "u long, v long")
     e = materialise(e.distinct(), "links")
+    if e.count() <= one_task:
+        old, e = e, materialise(e.coalesce(1).mapInArrow(_union_find, "u long, v long"), "links")
+        discard(old)
+        rounds = 0
     before = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))
@@ -246,7 +264,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if rounds:
+            raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 

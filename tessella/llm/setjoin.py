@@ -2,19 +2,25 @@
 
 A document's set holds its distinct 4-word shingles (64-bit hashes). Sets of equal content are one class. Two sets that reach the
 similarity share a token among the first n - ceil(t n) + 1 of their tokens in any common order; here tokens that few documents hold come first,
-by counts over all documents in a hashed table of fixed size. Each class enters its prefix in the token lists, with its size.
-
-Lists are not compared pair by pair. (1) In each list every set is compared with the list's first set only, where sizes
-allow it; of these candidates a set takes the one that shares most tokens. Sets found similar, directly or over
-others, are from then on one relation (a connected component) and are skipped in each other's lists. (2) Lists that still hold
-several relations compare one member of each with the first. (3) What is left, members of different relations in one list, goes in blocks
-(component of lists, band of sizes, part); pairs of blocks whose bands cannot meet are skipped, then pairs whose prefixes share too few
-tokens for what lies behind the prefixes, and all others are verified. Entries carry no positions in their sets. So every
-link between different relations is found and the components are exact, while a group of thousands of near copies costs
-a multiple of its size. Verification reads whole texts again.
-
-Lists of very frequent tokens are salted. Null and empty texts, and texts without words, have the empty set and link with nothing. Repeated rows
-are members of one class. The component is the smallest doc_id; other columns are ignored; an empty table gives no rows.
+by counts over all documents in a hashed table of fixed size. Each class enters its prefix in the token lists, with its size
+and each token's position in the set.
+
+Lists are not compared pair by pair.
+(1) In each list every set is compared with the list's first set only, where sizes and positions allow it; of these candidates a set takes
+the one that shares most tokens. Sets found similar, directly or over others, are from then on one relation (a connected
+component) and are skipped in each other's lists.
+(2) Lists that still hold several relations are read in blocks of bounded size. Sizes, positions and the number of such lists that a set is in bound
+what two sets can share; pairs of entries that cannot reach the similarity are skipped, and so are pairs of relations that meet in fewer lists than any of their
+pairs needs. Of what is left, one member of each relation, its leader, is compared with the other's leader: their exact answer.
+(3) The answers of the other members are derived from their leaders' answers. Jaccard distance is a metric, so members x, z of relations
+with leaders a, b can be similar only if d(x, a) + d(z, b) + 1 - t >= d(a, b); only those that may be are looked up in
+their common lists, counted as before and compared.
+No link between different relations is left out, so the components are exact, while a group of thousands of near copies costs a
+multiple of its size. Comparing reads whole texts again.
+
+Lists of very frequent tokens are salted in (1) and cut into blocks in (2). Null and empty texts, and texts without words, have the
+empty set and link with nothing. Repeated rows are members of one class. The component is the smallest doc_id; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mix64, powers, table
+from .common import bitmap, components, discard, in_bitmap, materialise, mix64, powers, slices, table, tidied
 
 SHINGLE, PERCENT = 4, 85
 WIDTH, CHUNK = 1 << 21, 1 << 16
 HOT = 4096
-PAIR_BLOCK = 1024
+BLOCK = 512
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 
 
@@ -80,9 +86,13 @@ def need(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many tokens two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
 def token_counts(docs: DataFrame, size: int) -> np.ndarray:
@@ -90,13 +100,10 @@ def token_counts(docs: DataFrame, size: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(WIDTH, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                s = shingles(t, size)
-                if len(s) > 50_000:
-                    total += np.bincount((s & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
-                else:
-                    np.add.at(total, (s & np.uint64(WIDTH - 1)).astype(np.int64), 1)
+        for batch in batches:
+            for b in slices(batch, 0):
+                for t in b.column(0).to_pylist():
+                    np.add.at(total, (shingles(t, size) & np.uint64(WIDTH - 1)).astype(np.int64), 1)
         rows = [(k, zlib.compress(total[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1)) for k in range(WIDTH // CHUNK) if total[k * CHUNK : (k + 1) * CHUNK].any()]
         from pyspark import TaskContext
 
@@ -110,7 +117,7 @@ def token_counts(docs: DataFrame, size: int) -> np.ndarray:
         return pd.DataFrame({"chunk": [key[0]], "part": [0], "data": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "chunk int, part int, data binary"
-    sums = docs.select("text").mapInArrow(run, kind).groupBy("chunk", "part").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
+    sums = docs.select("text").mapInArrow(tidied(run), kind).groupBy("chunk", "part").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
     out = np.zeros(WIDTH, np.int64)
     for r in sums.collect():  # WIDTH counts in all, whatever the input
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.int64)
@@ -128,7 +135,7 @@ def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         have = counts.value
-        for b in batches:
+        for b in (b for batch in batches for b in slices(batch, 1)):
             ids = b.column(0)
             n, sets, ranks, pre, salts = [], [], [], [], []
             for t in b.column(1).to_pylist():
@@ -151,19 +158,21 @@ def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
                 salts.append(np.where(parts > 1, 1 + (sid & 0x7FFFFFFF) % parts, 0).astype(np.int32))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sets, pa.int64()), pa.array(ranks, pa.int32()), pa.array(pre, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], names=["doc_id", "n", "set_id", "rank", "prefix", "salts"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, set_id long, rank int, prefix array<bigint>, salts array<int>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n int, set_id long, rank int, prefix array<bigint>, salts array<int>")
 
 
 def _lists():
     """Streams lists (sorted by token, salt, rank, set_id): rows of lists of one set go, the others get their list's first set."""
+    names = ["token", "x", "n", "pos", "hub", "hub_n", "hub_pos"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batches):
         head, single = None, None
         for b in batches:
             out: list[tuple] = []
-            for token, salt, rank, sid, n in zip(*(c.to_pylist() for c in b.columns)):
+            for token, salt, rank, sid, n, pos in zip(*(c.to_pylist() for c in b.columns)):
                 if head is None or head[0] != token or head[1] != salt:
-                    head, single = (token, salt, sid, n), (token, sid, n, rank, sid, n)
+                    head, single = (token, salt, sid, n, pos), (token, sid, n, pos, sid, n, pos)
                     if salt:
                         out.append(single)
                         single = None
@@ -171,40 +180,77 @@ def _lists():
                     if single:
                         out.append(single)
                         single = None
-                    out.append((token, sid, n, rank, head[2], head[3]))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["token", "x", "n", "rank", "hub", "hub_n"])
-
-    return run
-
-
-def _possible(n: str, m: str, percent: int) -> F.Column:
-    """Whether two sizes let sets be similar."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
-def _filter_bits(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
-    """A bitmap of fixed size of the ids' hashes, put together from the parts' bitmaps."""
-    step = bits // 64
+                    out.append((token, sid, n, pos, *head[2:]))
+            cols = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+    return tidied(run)
+
+
+def _possible(n: str, m: str, i: str, j: str, percent: int) -> F.Column:
+    """Whether sizes n, m and positions i, j of one token let two sets be similar: they share at most min(i, j) tokens before it
+    and min(n - i, m - j) from it on."""
+    most = F.least(i, j) + F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (F.col(n) + F.col(m)))
+
+
+def _fewest(n, m, percent: int, least=np.minimum, greatest=np.maximum):
+    """In how many lists two similar sets of these sizes meet at least. Of the set whose prefix ends first in the common order, every shared
+    token up to there is in the other's prefix too; beyond it lie need(size) - 1 tokens at most."""
+    return greatest(1, -(-percent * (n + m) // (100 + percent)) + (-percent * greatest(n, m) // 100) + 1)
+
+
+def _meet(percent: int):
+    """Streams blocks (sorted by token, lo, hi; rows token, lo, hi, b, n, pos, r, most): for each two relations that have a possible pair of entries in the block, (ra, rb, the least
+    number of lists in which one of the pairs must meet)."""
+
+    def pairs(own):
+        b, n, i, r, most_of = (np.array(c, np.int64) for c in zip(*(x[3:] for x in own)))
+        lo, hi = own[0][1], own[0][2]
+        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        # blocks of entries of like size: a pair of blocks whose sizes cannot meet is skipped whole, then its pairs by position
+        left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
+        found = []
+        for k in range(0, len(left), 64):
+            x = left[k : k + 64]
+            least, most = int(n[x[0]]), int(n[x[-1]])
+            y = right[np.searchsorted(n[right], -(-percent * least // 100)) : np.searchsorted(n[right], 100 * most // percent, "right")]
+            nx, ny, ix, iy = n[x][:, None], n[y][None, :], i[x][:, None], i[y][None, :]
+            share = np.minimum(np.minimum(ix, iy) + np.minimum(nx - ix, ny - iy), np.maximum(most_of[x][:, None], most_of[y][None, :]))
+            ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * share >= percent * (nx + ny))
+            ok &= (r[x][:, None] < r[y][None, :]) if lo == hi else (r[x][:, None] != r[y][None, :])
+            p, q = np.nonzero(ok)
+            a, c = r[x[p]], r[y[q]]
+            found.append(np.stack([np.minimum(a, c), np.maximum(a, c), _fewest(n[x[p]], n[y[q]], percent)]))
+        f = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        f = f[:, np.lexsort(f[::-1])]
+        first = np.ones(f.shape[1], bool)
+        first[1:] = (f[:2, 1:] != f[:2, :-1]).any(0)
+        return f[:, first]
+
+    def two(own):
+        (_, _, _, _, n, i, r, a), (_, _, _, _, m, j, q, b) = own
+        share = min(min(i, j) + min(n - i, m - j), max(a, b))
+        ok = r != q and 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * share >= percent * (n + m)
+        return np.array([[min(r, q)], [max(r, q)], [_fewest(n, m, percent, min, max)]], np.int64) if ok else np.zeros((3, 0), np.int64)
 
     def run(batches):
-        own = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            h = mix64(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
-            np.bitwise_or.at(own, (h >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)))
-        keep = [k for k in range(64) if own[k * step // 8 : (k + 1) * step // 8].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([zlib.compress(own[k * step // 8 : (k + 1) * step // 8].tobytes(), 1) for k in keep], pa.binary())], names=["chunk", "data"])
-
-    def join(key, pdf):
-        import pandas as pd
-
-        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["data"]])
-        return pd.DataFrame({"chunk": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
+        own: list[tuple] = []
+        head = None
+        for batch in batches:
+            out = [np.zeros((3, 0), np.int64)]
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != head:
+                    if len(own) > 1:
+                        out.append(two(own) if len(own) == 2 and own[0][1] == own[0][2] else pairs(own))
+                    own, head = [], row[:3]
+                own.append(row)
+            f = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in f], names=["ra", "rb", "fewest"])
+        f = (pairs(own) if len(own) > 1 else np.zeros((3, 0), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in f], names=["ra", "rb", "fewest"])
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in ids.mapInArrow(run, "chunk int, data binary").groupBy("chunk").applyInPandas(join, "chunk int, data binary").collect():
-        out[r["chunk"] * step // 8 : (r["chunk"] + 1) * step // 8] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
-    return out
+    return tidied(run)
 
 
 def _texts(docs: DataFrame, own: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -212,110 +258,135 @@ def _texts(docs: DataFrame, own: DataFrame, ids: DataFrame, size: int) -> DataFr
     spark = docs.sparkSession
     least = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialise(least.join(ids, "set_id"), "wanted")
-    bits = spark.sparkContext.broadcast(_filter_bits(wanted.select(F.coalesce("doc_id", F.lit(0)))))
+    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.coalesce("doc_id", F.lit(0)))))
 
     def run(batches):
-        have = bits.value
-        for b in batches:
-            sets, data = [], []
-            h = mix64(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(len(have) * 8 - 1)
-            hit = np.flatnonzero((have[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
+        have, codec = bits.value, pa.Codec("zstd", compression_level=1)
+        for b in (b for batch in batches for b in slices(batch, 1)):
+            sets, sizes, data = [], [], []
+            hit = np.flatnonzero(in_bitmap(have, b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
             for k in hit.tolist():
                 t = b.column(1)[k].as_py()
                 s = shingles(t, size)
                 if len(s):
+                    raw = t.encode("utf-8", "replace")
                     sets.append(_set_id(s))
-                    data.append(zlib.compress(t.encode("utf-8", "replace"), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(data, pa.binary())], names=["set_id", "data"])
+                    sizes.append(len(raw))
+                    data.append(codec.compress(raw, asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=["set_id", "size", "data"])
 
-    return docs.mapInArrow(run, "set_id long, data binary").join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    found = docs.mapInArrow(tidied(run), "set_id long, size int, data binary").join(wanted.select("set_id"), "set_id", "left_semi")
+    return found.select("set_id", F.struct("size", "data").alias("text")).dropDuplicates(["set_id"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (hub, x) of classes, those that are similar, as (u, v). A task keeps sets that it met, up to a bound."""
+def compare(pairs: DataFrame, docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes with their distance and whether they are similar. A task keeps sets that it met, up to a bound."""
 
     def run(batches):
         kept: dict[int, np.ndarray] = {}
         total = 0
+        codec = pa.Codec("zstd", compression_level=1)
 
-        def of(i: int, data) -> np.ndarray:
+        def of(i: int, text) -> np.ndarray:
             nonlocal total
             s = kept.get(i)
             if s is None:
-                if total > 4_000_000:  # 32 MB
+                if total > 2_000_000:  # 16 MB
                     kept.clear()
                     total = 0
-                s = kept[i] = shingles(zlib.decompress(data.as_py()).decode(), size)
+                x = text.as_py()
+                s = kept[i] = shingles(codec.decompress(x["data"], x["size"], asbytes=True).decode(), size)
                 total += len(s)
             return s
 
         for b in batches:
-            u, v = [], []
-            for h, x, hd, xd in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if similar(of(h, hd), of(x, xd), percent):
-                    u.append(h)
-                    v.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    ids = pairs.select(F.col("hub").alias("set_id")).union(pairs.select("x")).distinct()
-    texts = materialise(_texts(docs, own, ids, size), "texts")
-    with_x = pairs.join(texts.select(F.col("set_id").alias("x"), F.col("data").alias("x_data")), "x")
-    both = with_x.join(texts.select(F.col("set_id").alias("hub"), F.col("data").alias("hub_data")), "hub")
-    return both.select("hub", "x", "hub_data", "x_data").mapInArrow(run, "u long, v long")
-
-
-def _rest(known: DataFrame, percent: int) -> DataFrame:
-    """(3) pairs (x, hub) of different relations whose prefixes share enough tokens. Entries go in blocks by token group: lists are cut into
-    blocks of bounded size; a task counts the shared tokens of a pair of blocks and gives only the pairs that pass."""
-    spark = known.sparkSession
-    group = components(known.groupBy("token").agg(F.min("x").alias("v")).join(known.select("token", "x"), "token").where("x <> v").select(F.col("x").alias("u"), "v").distinct())
-    sets = known.groupBy("x", "r").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"))
-    sets = sets.join(group.withColumnRenamed("node", "x"), "x")
-    # sets of like size share a block, so that pairs of blocks whose sizes cannot meet are skipped
-    band = sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int"))
-    cuts = band.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("cuts"))
-    band = band.join(cuts, ["component", "band"])
-    band = band.withColumn("part", F.pmod(F.xxhash64("x"), F.col("cuts")).cast("int"))
-    blocks = band.groupBy("component", "band", "part").agg(F.collect_list(F.struct("x", "r", "n", "tokens")).alias("own"))
-    blocks = materialise(blocks, "set-blocks")
-    keys = blocks.select("component", "band", "part")
-    a, b = keys.select("component", F.col("band").alias("ba"), F.col("part").alias("pa")), keys.select("component", F.col("band").alias("bb"), F.col("part").alias("pb"))
-    meet = a.join(b, "component").where("(ba = bb and pa <= pb) or ba + 1 = bb")
-    left = blocks.select("component", F.col("band").alias("ba"), F.col("part").alias("pa"), F.col("own").alias("left"))
-    right = blocks.select("component", F.col("band").alias("bb"), F.col("part").alias("pb"), F.col("own").alias("right"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = meet.repartition(parts, "component", "ba", "pa", "bb", "pb").join(left, ["component", "ba", "pa"]).join(right, ["component", "bb", "pb"])
+            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+            far, near = [], []
+            for i, j, a, c in zip(u, v, b.column(2), b.column(3)):
+                x, y = of(i, a), of(j, c)
+                both = overlap(x, y)
+                every = len(x) + len(y) - both
+                far.append(1.0 - both / every)
+                near.append(both > 0 and 100 * both >= percent * every)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.float64()), pa.array(near, pa.bool_())], names=["u", "v", "d", "near"])
+
+    texts = materialise(_texts(docs, own, pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct(), size), "texts")
+    both = pairs.join(texts.select(F.col("set_id").alias("u"), F.col("text").alias("tu")), "u")
+    both = both.join(texts.select(F.col("set_id").alias("v"), F.col("text").alias("tv")), "v")
+    out = materialise(both.select("u", "v", "tu", "tv").mapInArrow(tidied(run), "u long, v long, d double, near boolean"), "compared")
+    discard(texts)
+    return out
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(ra, block, own): the rows (ra, x, n, far, d, tokens) of each relation in blocks of about so many."""
+    cuts = rows.groupBy("ra").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("cuts"))
+    dealt = rows.join(cuts, "ra").withColumn("block", F.pmod(F.xxhash64("x", "d"), F.col("cuts")).cast("int"))
+    return dealt.groupBy("ra", "block").agg(F.collect_list(F.struct("x", "n", "far", "d", "tokens")).alias("own"))
+
+
+def _shared(percent: int):
+    """Pairs of blocks: the pairs of sets that distances and sizes leave possible and that meet in enough lists. Lists in common are counted by a
+    product of the blocks' incidence matrices."""
+    free = 1 - percent / 100 + 1e-9
 
-    def flat(own):
+    def load(own):
         tokens = [x["tokens"] for x in own]
-        owner = np.repeat(np.arange(len(own)), [len(t) for t in tokens])
-        t = np.array([y for x in tokens for y in x], np.int64)
-        order = np.argsort(t, kind="stable")
-        return [np.array([x[k] for x in own], np.int64) for k in ("x", "r", "n")], t[order], owner[order]
+        row = np.repeat(np.arange(len(own)), [len(t) for t in tokens])
+        return [np.array([x[k] for x in own]) for k in ("x", "n", "far", "d")], np.array([y for t in tokens for y in t], np.int64), row
 
     def run(batches):
         for batch in batches:
-            xs, hubs = [], []
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
-                (xa, ra, na), ta, oa = flat(batch.column(0)[k].as_py())
-                (xb, rb, nb), tb, ob = flat(batch.column(1)[k].as_py())
-                count = np.zeros((len(xa), len(xb)), np.uint16)
+                (xa, na, fa, _), ta, ia = load(batch.column(0)[k].as_py())
+                (xb, nb, fb, d), tb, ib = load(batch.column(1)[k].as_py())
                 common = np.intersect1d(ta, tb)
-                for lo, hi, lo2, hi2 in zip(np.searchsorted(ta, common), np.searchsorted(ta, common, "right"), np.searchsorted(tb, common), np.searchsorted(tb, common, "right")):
-                    count[np.ix_(oa[lo:hi], ob[lo2:hi2])] += 1
-                i, j = np.nonzero(count)
-                keep = ra[i] != rb[j]
-                i, j = i[keep], j[keep]
-                low, high = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
-                least = -(-percent * (low + high) // (100 + percent))
-                # of the set whose prefix ends first in the common order, every shared token up to there is in the other's prefix
-                # too; beyond it lie need(n) - 1 tokens at most
-                ok = (100 * low >= percent * high) & (count[i, j] - (-percent * high // 100) - 1 >= least)
-                xs.append(xa[i[ok]])
-                hubs.append(xb[j[ok]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (xs, hubs)], names=["x", "hub"])
-
-    return pairs.select("left", "right").mapInArrow(run, "x long, hub long")
+                count = np.zeros((len(xa), len(xb)), np.float32)
+                for at in range(0, len(common), 2048):
+                    part = common[at : at + 2048]
+                    both = []
+                    for t, i, m in ((ta, ia, len(xa)), (tb, ib, len(xb))):
+                        j = np.minimum(np.searchsorted(part, t), len(part) - 1)
+                        hit = part[j] == t
+                        one = np.zeros((m, len(part)), np.float32)
+                        one[i[hit], j[hit]] = 1
+                        both.append(one)
+                    count += both[0] @ both[1].T
+                n, m = na[:, None], nb[None, :]
+                ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (fa[:, None] + fb[None, :] + free >= d[None, :])
+                i, j = np.nonzero(ok & (count >= _fewest(n, m, percent)))
+                us.append(xa[i])
+                vs.append(xb[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (us, vs)], names=["u", "v"])
+
+    return tidied(run)
+
+
+def _derived(open_pairs: DataFrame, known: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(3) the pairs (u, v) of members of open pairs of relations (ra, rb, d) that their leaders' answers leave possible and that meet often enough.
+    members: (x, r, far), far the distance from the leader. The members of a relation, and those of all relations that are open
+    with it, meet in blocks of bounded size."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    free = 1 - percent / 100 + 1e-9
+    size = members.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.max("far").alias("reach"))
+    of = lambda side: size.select(F.col("r").alias(f"r{side}"), F.col("c").alias(f"c{side}"), F.col("reach").alias(f"reach_{side}"))
+    both = open_pairs.join(of("a"), "ra").join(of("b"), "rb").where(F.col("reach_a") + F.col("reach_b") + free >= F.col("d"))
+    turn = F.col("ca") < F.col("cb")
+    pick = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
+    both = both.select(pick("rb", "ra").alias("ra"), pick("ra", "rb").alias("rb"), "d", pick("reach_b", "reach_a").alias("reach_a"), pick("reach_a", "reach_b").alias("reach_b"))
+    own = known.join(members, ["x", "r"]).groupBy("x", "r").agg(F.first("n").alias("n"), F.first("far").alias("far"), F.collect_set("token").alias("tokens"))
+    own, both = materialise(own, "members-lists"), materialise(both, "open-pairs")
+    least = both.groupBy("ra").agg(F.min(F.col("d") - F.col("reach_b")).alias("least"))
+    a = own.join(least, F.col("r") == F.col("ra")).where(F.col("far") + free >= F.col("least")).select("ra", "x", "n", "far", F.lit(0.0).alias("d"), "tokens")
+    b = own.join(both, F.col("r") == F.col("rb")).where(F.col("far") + F.col("reach_a") + free >= F.col("d")).select("ra", "x", "n", "far", "d", "tokens")
+    a = materialise(_blocks(a, BLOCK).select("ra", F.col("block").alias("i"), F.col("own").alias("left")), "blocks")
+    b = materialise(_blocks(b, BLOCK).select("ra", F.col("block").alias("j"), F.col("own").alias("right")), "blocks")
+    meet = a.select("ra", "i").join(b.select("ra", "j"), "ra").repartition(parts, "ra", "i", "j")
+    found = meet.join(a, ["ra", "i"]).join(b, ["ra", "j"]).select("left", "right").mapInArrow(_shared(percent), "u long, v long")
+    found = materialise(found.distinct(), "pairs")
+    discard(own, a, b)
+    return found
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -324,42 +395,62 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(np.minimum(token_counts(docs, size), 2**31 - 1).astype(np.int32))
     own = materialise(prefixes(docs, counts, size, percent), "prefixes")
+    counts.destroy()
     sets = own.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.first("prefix").alias("prefix"), F.first("salts").alias("salts"))
-    entries = sets.select("set_id", "n", "rank", F.explode(F.arrays_zip("prefix", "salts")).alias("e")).select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salt"), "rank", "set_id", "n")
+    entries = sets.select("set_id", "n", "rank", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "e"))
+    entries = entries.select(F.col("e.prefix").alias("token"), F.col("e.salts").alias("salt"), "rank", "set_id", "n", "pos")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "rank", "set_id").mapInArrow(_lists(), "token long, x long, n int, rank int, hub long, hub_n int")
+    lists = entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "rank", "set_id").mapInArrow(_lists(), "token long, x long, n int, pos int, hub long, hub_n int, hub_pos int")
     lists = materialise(lists, "lists")
 
     # (1) each set against the first of a list, the one that shares most of its tokens
-    shared = lists.where("x <> hub").where(_possible("n", "hub_n", percent)).groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"))
-    best = shared.groupBy("x").agg(F.max(F.struct("k", F.col("hub").alias("h"))).alias("b")).select("x", F.col("b.h").alias("hub"))
-    pairs = materialise(best, "pairs")
-    links = materialise(verify(pairs, docs, own, size, percent), "links")
-    tried = pairs.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"))
-
-    known = lists.select("token", "x", "n", "rank")
-    for last in (False, True):
-        relation = components(links).withColumnRenamed("node", "x")
-        known = known.drop("r").join(relation, "x", "left").withColumn("r", F.coalesce("component", "x")).drop("component")
-        mixed = known.groupBy("token").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select("token")
-        known = materialise(known.join(mixed, "token"), "mixed-lists")  # lists of one relation are done
-        if not last:  # (2) one member of each relation against the list's first
-            blocks = known.groupBy("token", "r").agg(F.min(F.struct("rank", "x", "n")).alias("one"))
-            first = blocks.groupBy("token").agg(F.min(F.struct("one", "r")).alias("first"))
-            more = blocks.join(first, "token").where("r <> first.r").select(F.col("one.x").alias("x"), F.col("one.n").alias("n"), F.col("first.one.x").alias("hub"), F.col("first.one.n").alias("hub_n"))
-            more = more.where(_possible("n", "hub_n", percent)).select("x", "hub")
-        else:
-            more = _rest(known, percent)
-        more = more.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
-        tried = tried.union(more)
-        links = links.union(materialise(verify(more.select(F.col("a").alias("hub"), F.col("b").alias("x")), docs, own, size, percent), "links"))
-    relation = components(links)
+    shared = lists.where("x <> hub").where(_possible("n", "hub_n", "pos", "hub_pos", percent)).groupBy("x", "hub").agg(F.count(F.lit(1)).alias("k"))
+    best = shared.groupBy("x").agg(F.max(F.struct("k", F.col("hub").alias("h"))).alias("b")).select(F.col("b.h").alias("u"), F.col("x").alias("v"))
+    first = compare(materialise(best, "pairs"), docs, own, size, percent)
+    links = first.where("near").select("u", "v")
+
+    # (2) leaders of the relations that still meet
+    relation = components(links).select(F.col("node").alias("x"), F.col("component").alias("c"))
+    lead = links.join(relation, F.col("u") == F.col("x")).groupBy("c", "u").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.max(F.struct("k", "u")).alias("most"))
+    relation = materialise(relation.join(lead, "c").select("x", F.col("most.u").alias("r")), "relations")  # named after its leader, the most linked member
+    known = lists.select("token", "x", "n", "pos").join(relation, "x", "left").withColumn("r", F.coalesce("r", "x"))
+    known = materialise(known, "related-lists")
+    mixed = known.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1")
+    mixed = mixed.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    known, every = materialise(known.join(mixed, "token"), "mixed-lists"), known  # lists of one relation are done
+    discard(every, lists)
+    # of two sets, one's prefix ends first; it shares with the other's relation its tokens in these lists and those behind its prefix at most
+    most = known.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).select("x", (F.ceil(percent * F.col("n") / 100) - 1 + F.col("k")).cast("int").alias("most"))
+    block = known.join(most, "x").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    block = block.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = block.select("token", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "n", "pos", "r", "most")
+    meet = block.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(percent), "ra long, rb long, fewest long")
+    meet = meet.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("k"), F.min("fewest").alias("fewest")).where("k >= fewest")
+    size_of = relation.groupBy("r").agg(F.count(F.lit(1)).alias("members"))
+    meet = meet.join(size_of.select(F.col("r").alias("ra"), F.col("members").alias("ma")), "ra", "left").join(size_of.select(F.col("r").alias("rb"), F.col("members").alias("mb")), "rb", "left")
+    meet = materialise(meet.select("ra", "rb", (F.col("ma").isNotNull() | F.col("mb").isNotNull()).alias("open")), "relation-pairs")
+    answers = compare(meet.select(F.col("ra").alias("u"), F.col("rb").alias("v")), docs, own, size, percent)
+    links = links.union(answers.where("near").select("u", "v"))
+
+    # (3) members of relations whose leaders are not similar
+    joined = components(links).select(F.col("node"), "component")
+    left = meet.where("open").join(answers.where("not near").select(F.col("u").alias("ra"), F.col("v").alias("rb"), "d"), ["ra", "rb"])
+    left = left.join(joined.select(F.col("node").alias("ra"), F.col("component").alias("ca")), "ra", "left").join(joined.select(F.col("node").alias("rb"), F.col("component").alias("cb")), "rb", "left")
+    left = materialise(left.where("not (ca <=> cb) or ca is null").select("ra", "rb", "d"), "open-pairs")
+    if not left.isEmpty():
+        some = left.select(F.col("ra").alias("r")).union(left.select("rb")).distinct()
+        others = relation.join(some, "r").where("x <> r")
+        far = compare(others.select(F.col("r").alias("u"), F.col("x").alias("v")), docs, own, size, percent)
+        members = far.select(F.col("v").alias("x"), F.col("u").alias("r"), F.col("d").alias("far")).union(some.select(F.col("r").alias("x"), "r", F.lit(0.0).alias("far")))
+        more = _derived(left, known.select("token", "x", "n", "r"), materialise(members, "members"), percent)
+        links = links.union(compare(more, docs, own, size, percent).where("near").select("u", "v"))
+        joined = components(links)
     to = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id")
     named = to.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    joined = named.join(relation.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-    top = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = materialise(joined.join(top, "component").select("set_id", "component_id"), "classes")
+    each = named.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
+    top = each.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = materialise(each.join(top, "component").select("set_id", "component_id"), "classes")
+    discard(known, meet)
     return to.join(final, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
