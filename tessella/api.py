@@ -31,6 +31,11 @@ class Prepared:
             self.tables[name] = df.sortWithinPartitions(*keys).cache()
         return self
 
+    def release(self) -> None:
+        """Frees what build() keeps."""
+        for name in list(self.tables):
+            self.tables.pop(name).unpersist()
+
     def _indexes(self, node: Any):
         if isinstance(node, (HashIndex, OrderedIndex)) and isinstance(node.values, Filter) and isinstance(node.values.source, Relation):
             names = {n.column for n in self._names(node.values.test) if n.scope is None}
@@ -59,8 +64,8 @@ class Prepared:
 class Engine:
     """Queries over a catalog."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.catalog = spark, Catalog(folder, tables)
+    def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame] | None = None, dates: frozenset[str] = frozenset()):
+        self.spark, self.catalog = spark, Catalog(folder, tables, dates)
 
     def algebra(self, text: str, **params: Any) -> DataFrame:
         node = parse(text)

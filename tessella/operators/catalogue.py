@@ -17,12 +17,20 @@ QUERIES: dict[str, Run] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Midnight timestamps of the test tables that are dates.
+DATES = frozenset({"l_shipdate", "o_orderdate"})
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(spark, sf_dir, dates=DATES)
+
+
 def _add(name: str, query: str | Run, sql: str | None = None, **params) -> None:
     if isinstance(query, str):
         text = query
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return Engine(spark, sf_dir).algebra(text, **params)
+            return _engine(spark, sf_dir).algebra(text, **params)
 
         QUERIES[name] = run
     else:
@@ -33,7 +41,7 @@ def _add(name: str, query: str | Run, sql: str | None = None, **params) -> None:
 
 def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
     """A query of the SQL front-end; the oracle is the same text where dialects agree."""
-    _add(name, lambda spark, sf_dir: Engine(spark, sf_dir).sql(text, tables.split()), oracle or text)
+    _add(name, lambda spark, sf_dir: _engine(spark, sf_dir).sql(text, tables.split()), oracle or text)
 
 
 # scans and sources
@@ -45,7 +53,7 @@ _add("scalar_r6", "ascalar((2 + 3) as v)", "select 5::bigint as v")
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(spark, sf_dir)
+    e = _engine(spark, sf_dir)
     t = {n: e.catalog.table(spark, n)[0] for n in ("lineitem", "orders", "customer")}
     got = star_sample(t, "lineitem", 500, 7, [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")], ["l_orderkey", "l_linenumber", "l_partkey"])
     return got["customer"].select("c_custkey", "c_nationkey")
@@ -57,7 +65,7 @@ _add(
     "select c_custkey, c_nationkey from customer where c_custkey in (select o_custkey from orders where o_orderkey in (select l_orderkey from"
     " (select l_orderkey from lineitem order by md5('7:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_orderkey, l_linenumber, l_partkey limit 500)))",
 )
-_add("sink_text_r13", lambda spark, sf_dir: text_rows(Engine(spark, sf_dir).algebra("select([s_suppkey, s_name, s_acctbal, (s_nationkey > 10) as far], supplier)")), "select s_suppkey || '|' || s_name || '|' || printf('%.6f', s_acctbal) || '|' || case when s_nationkey > 10 then 't' else 'f' end as line from supplier")
+_add("sink_text_r13", lambda spark, sf_dir: text_rows(_engine(spark, sf_dir).algebra("select([s_suppkey, s_name, s_acctbal, (s_nationkey > 10) as far], supplier)")), "select s_suppkey || '|' || s_name || '|' || printf('%.6f', s_acctbal) || '|' || case when s_nationkey > 10 then 't' else 'f' end as line from supplier")
 
 # relational core
 _add("project_r20", "select([o_orderkey, (o_totalprice * 2) as twice], orders)", "select o_orderkey, o_totalprice * 2 as twice from orders")
@@ -127,7 +135,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = parse("query a(low:fixed) { select([p_partkey as k, p_name as name], filter(p_retailprice > low, part)) }")
     b = parse("query b(low:fixed) { select([s_suppkey as k, s_acctbal as bal], filter(s_acctbal > low, supplier)) }")
     q = fuse([a, b], [[("k", "int"), ("name", "string")], [("k", "int"), ("bal", "fixed")]])
-    return Engine(spark, sf_dir).tree(q.body, query_id=1, low=5000.0)
+    return _engine(spark, sf_dir).tree(q.body, query_id=1, low=5000.0)
 
 
 _add("fusion_u4", _fused, "select s_suppkey as k, '' as name, s_acctbal as bal from supplier where s_acctbal > 5000")
@@ -168,7 +176,7 @@ _add("params_e8", "select([o_orderkey, o_totalprice], filter(o_orderdate >= lo &
 
 
 def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(spark, sf_dir)
+    e = _engine(spark, sf_dir)
     e.catalog.add("big", e.algebra("groupby([l_orderkey as k, count() as n], [l_orderkey], lineitem)"))
     return e.algebra("select([k, n], join(n = m, big, select([max(n) as m], big)))")
 
@@ -177,7 +185,7 @@ _add("cse_o12", _shared, "with big as (select l_orderkey as k, count(*) as n fro
 
 
 def _from_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(spark, sf_dir)
+    e = _engine(spark, sf_dir)
     view = parse("select([p_partkey, p_brand as brand, p_size], filter(p_size > 10, part))")
     e.catalog.add("view", e.tree(view))
     return e.tree(subsumes(view, parse('select([p_partkey, p_size], filter(p_size > 10 && p_brand = "Brand#3", part))')))
@@ -187,13 +195,13 @@ _add("subsume_o15", _from_view, "select p_partkey, p_size from part where p_size
 
 # TPC-H, with the columns that the tables have; sums are rounded to cents
 _R = "round({}, 2)"
-QUERIES["tpch_q1"] = lambda spark, sf_dir: Engine(spark, sf_dir).algebra('orderby([l_returnflag, l_linestatus], groupby([l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, sum(l_extendedprice) as sum_base, sum(l_extendedprice * (1 - l_discount)) as sum_disc, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as sum_charge, avg(l_quantity) as avg_qty, avg(l_discount) as avg_disc, count() as n], [l_returnflag, l_linestatus], filter(l_shipdate <= date("1998-12-01") - day(90), lineitem)))').withColumns({c: F.round(c, 2) for c in ("sum_qty", "sum_base", "sum_disc", "sum_charge")} | {c: F.round(c, 4) for c in ("avg_qty", "avg_disc")})
+QUERIES["tpch_q1"] = lambda spark, sf_dir: _engine(spark, sf_dir).algebra('orderby([l_returnflag, l_linestatus], groupby([l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, sum(l_extendedprice) as sum_base, sum(l_extendedprice * (1 - l_discount)) as sum_disc, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as sum_charge, avg(l_quantity) as avg_qty, avg(l_discount) as avg_disc, count() as n], [l_returnflag, l_linestatus], filter(l_shipdate <= date("1998-12-01") - day(90), lineitem)))').withColumns({c: F.round(c, 2) for c in ("sum_qty", "sum_base", "sum_disc", "sum_charge")} | {c: F.round(c, 4) for c in ("avg_qty", "avg_disc")})
 ORACLE["tpch_q1"] = "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_discount), 4) as avg_disc, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by 1, 2"
 
 
 def _money(name: str, text: str, sql: str, *columns: str, **params) -> None:
     """A query whose sums are rounded to cents on both sides."""
-    _add(name, lambda spark, sf_dir: Engine(spark, sf_dir).algebra(text, **params).withColumns({c: F.round(c, 2) for c in columns}), sql)
+    _add(name, lambda spark, sf_dir: _engine(spark, sf_dir).algebra(text, **params).withColumns({c: F.round(c, 2) for c in columns}), sql)
 
 
 _REV = "l_extendedprice * (1 - l_discount)"

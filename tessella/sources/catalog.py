@@ -12,15 +12,14 @@ from pyspark.sql import types as T
 
 from tessella.plans.tree import AlgebraError
 
-#: Midnight timestamps of the test tables that are dates.
-DATES = frozenset({"l_shipdate", "o_orderdate"})
 _DDL = {"int": "bigint", "integer": "bigint", "bigint": "bigint", "smallint": "bigint", "text": "string", "varchar": "string", "char": "string", "blob": "string", "float": "double", "double": "double", "real": "double", "decimal": "double", "numeric": "double", "bool": "boolean", "boolean": "boolean", "date": "date", "timestamp": "string", "time": "string"}
 
 
 class Catalog:
-    """Relations by name: Parquet files of a folder, views, or DataFrames that were given."""
+    """Relations by name: Parquet files of a folder, views, or DataFrames that were given. dates: columns that hold dates as midnight
+    timestamps."""
 
-    def __init__(self, folder: str | None = None, tables: dict[str, DataFrame] | None = None, dates: frozenset[str] = DATES):
+    def __init__(self, folder: str | None = None, tables: dict[str, DataFrame] | None = None, dates: frozenset[str] = frozenset()):
         self.folder, self.tables, self.dates = folder.rstrip("/") if folder else None, dict(tables or {}), dates
         self.keys: dict[str, dict[str, Any]] = {}
 
@@ -115,8 +114,10 @@ def prefix_sample(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def star_sample(tables: dict[str, DataFrame], fact: str, n: int, seed: int, links: list[tuple[str, str, str, str]], key: list[str]) -> dict[str, DataFrame]:
-    """n rows of the fact table by hash of its key columns, and of the others the rows they refer to. links: (from, column, to, column), in order."""
+def star_sample(tables: dict[str, DataFrame], fact: str, n: int, seed: int, links: list[tuple[str, str, str, str]], key: list[str] | None = None) -> dict[str, DataFrame]:
+    """n rows of the fact table by hash of its key columns (all if none are named), and of the others the rows they refer to. links: (from, column, to,
+    column), in order."""
+    key = key or tables[fact].columns
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
     out = {fact: tables[fact].orderBy(hashed, *key).limit(n)}
     for a, x, b, y in links:

@@ -78,7 +78,7 @@ def test_probe_time_and_timeout(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    df = Engine(spark, "/root/testdata/sf0.001").algebra('select([l_orderkey], filter(l_shipdate <= date("1996-01-01"), lineitem))')
+    df = Engine(spark, "/root/testdata/sf0.001", dates=frozenset({"l_shipdate"})).algebra('select([l_orderkey], filter(l_shipdate <= date("1996-01-01"), lineitem))')
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(l_shipdate" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp" in plan
