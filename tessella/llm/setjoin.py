@@ -29,7 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, components, discard, in_bitmap, materialise, mix64, powers, slices, table, tidied
@@ -201,11 +201,12 @@ def _fewest(n, m, percent: int, least=np.minimum, greatest=np.maximum):
 
 
 def _meet(percent: int):
-    """Streams blocks (sorted by token, lo, hi; rows token, lo, hi, b, n, pos, r, most): for each two relations that have a possible pair of entries in the block, (ra, rb, the least
-    number of lists in which one of the pairs must meet)."""
+    """Streams blocks (sorted by token, lo, hi; rows token, lo, hi, b, n, pos, r, most, after): for each two relations that have a possible pair of
+    entries in the block, (ra, rb, the least number of lists in which one of the pairs must be given). Two similar sets that must meet in f lists are
+    given only where each has f // 2 of its lists still to come: that holds in all but the last f // 2 of the lists where they meet."""
 
     def pairs(own):
-        b, n, i, r, most_of = (np.array(c, np.int64) for c in zip(*(x[3:] for x in own)))
+        b, n, i, r, most_of, after = (np.array(c, np.int64) for c in zip(*(x[3:] for x in own)))
         lo, hi = own[0][1], own[0][2]
         left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
         # blocks of entries of like size: a pair of blocks whose sizes cannot meet is skipped whole, then its pairs by position
@@ -220,8 +221,11 @@ def _meet(percent: int):
             ok = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((100 + percent) * share >= percent * (nx + ny))
             ok &= (r[x][:, None] < r[y][None, :]) if lo == hi else (r[x][:, None] != r[y][None, :])
             p, q = np.nonzero(ok)
-            a, c = r[x[p]], r[y[q]]
-            found.append(np.stack([np.minimum(a, c), np.maximum(a, c), _fewest(n[x[p]], n[y[q]], percent)]))
+            p, q = x[p], y[q]
+            fewest = _fewest(n[p], n[q], percent)
+            early = np.minimum(after[p], after[q]) >= fewest // 2
+            p, q, fewest = p[early], q[early], fewest[early]
+            found.append(np.stack([np.minimum(r[p], r[q]), np.maximum(r[p], r[q]), fewest - fewest // 2]))
         f = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
         f = f[:, np.lexsort(f[::-1])]
         first = np.ones(f.shape[1], bool)
@@ -229,10 +233,11 @@ def _meet(percent: int):
         return f[:, first]
 
     def two(own):
-        (_, _, _, _, n, i, r, a), (_, _, _, _, m, j, q, b) = own
+        (_, _, _, _, n, i, r, a, e), (_, _, _, _, m, j, q, b, f) = own
         share = min(min(i, j) + min(n - i, m - j), max(a, b))
         ok = r != q and 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * share >= percent * (n + m)
-        return np.array([[min(r, q)], [max(r, q)], [_fewest(n, m, percent, min, max)]], np.int64) if ok else np.zeros((3, 0), np.int64)
+        fewest = _fewest(n, m, percent, min, max)
+        return np.array([[min(r, q)], [max(r, q)], [fewest - fewest // 2]], np.int64) if ok and min(e, f) >= fewest // 2 else np.zeros((3, 0), np.int64)
 
     def run(batches):
         own: list[tuple] = []
@@ -420,10 +425,12 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     known, every = materialise(known.join(mixed, "token"), "mixed-lists"), known  # lists of one relation are done
     discard(every, lists)
     # of two sets, one's prefix ends first; it shares with the other's relation its tokens in these lists and those behind its prefix at most
-    most = known.groupBy("x", "n").agg(F.count(F.lit(1)).alias("k")).select("x", (F.ceil(percent * F.col("n") / 100) - 1 + F.col("k")).cast("int").alias("most"))
-    block = known.join(most, "x").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    w = Window.partitionBy("x")
+    block = known.withColumn("k", F.count(F.lit(1)).over(w)).withColumn("after", (F.col("k") - F.row_number().over(w.orderBy("pos"))).cast("int"))
+    block = block.withColumn("most", (F.ceil(percent * F.col("n") / 100) - 1 + F.col("k")).cast("int"))
+    block = block.withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     block = block.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block = block.select("token", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "n", "pos", "r", "most")
+    block = block.select("token", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b", "n", "pos", "r", "most", "after")
     meet = block.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(percent), "ra long, rb long, fewest long")
     meet = meet.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("k"), F.min("fewest").alias("fewest")).where("k >= fewest")
     size_of = relation.groupBy("r").agg(F.count(F.lit(1)).alias("members"))
