@@ -5,10 +5,12 @@ document ids; u64 document ends (ids before the end); u64 byte offset of each bl
 ``bits`` bits, the least that hold the vocabulary. Blocks start on bytes, so any range of ids unpacks by numpy from the blocks
 that hold it.
 
-Documents are dealt by ranges of doc_id, sorted in each task, encoded and written as one file a task, straight to the shared
-folder under a name of its own; a Parquet manifest, written by Spark, names the files that count, so that a repeated task's
-leftovers are never read. Null and empty texts give the end id alone; repeated rows are documents of their own; null doc_ids
-come first. An empty table gives no row. Other columns are ignored.
+Documents are dealt by ranges of doc_id (rows of one doc_id over several tasks where they are many), sorted in each task, encoded
+and written as files of bounded size straight to the shared folder, each under a name of its own; a Parquet manifest, written by Spark,
+names the files that count, so that a repeated task's leftovers are never read. The files are read back by the tasks that hold
+their manifest rows; neither names nor contents pass through the driver. Null and empty texts give the end id alone; repeated rows are
+documents of their own; null doc_ids come first; equal doc_ids stand in the order in which they were read. An empty table gives no row.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, table
+from .common import materialise, scratch_path, slices, table, tidied
 from .tokens import coder
 
 MAGIC, HEAD, BLOCK = b"TKB1", struct.Struct("<4sIIQQQ"), 4096
@@ -107,7 +109,16 @@ def _put(path: str, data: bytes) -> None:
     store.move(own, at)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bits: int | None = None, file_ids: int = 8_000_000) -> DataFrame:
+def _get(path: str) -> pa.Buffer:
+    """A whole file of the shared store."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as f:
+        return f.read_buffer()
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bits: int | None = None, file_ids: int = 4_000_000) -> DataFrame:
     """Writes the documents (doc_id, text) as token files in ascending doc_id order; returns the manifest
     (part long, piece int, path string, docs long, ids long), by part and piece in that order.
     A task's file is cut after about file_ids ids, so memory stays bounded."""
@@ -129,53 +140,52 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bits
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (piece, pa.int32()), (path, pa.string()), (len(own), pa.int64()), (n, pa.int64()))], names=["part", "piece", "path", "docs", "ids"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = code.encode(text) + end
-                n += len(ids) // 4
-                own.append(NO_ID if i is None else i)
-                ends.append(n)
-                data.append(ids)
-                if n >= file_ids:
-                    yield flush()
-                    own, ends, data, n, piece = [], [], [], 0, piece + 1
+            for b in slices(batch, 1):
+                for i, ids in zip(b.column(0).to_pylist(), code.encode_all(b.column(1).to_pylist())):
+                    n += len(ids) // 4 + 1
+                    own.append(NO_ID if i is None else i)
+                    ends.append(n)
+                    data += (ids, end)
+                    if n >= file_ids:
+                        yield flush()
+                        own, ends, data, n, piece = [], [], [], 0, piece + 1
         if own:
             yield flush()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialise(dealt.mapInArrow(run, "part long, piece int, path string, docs long, ids long"), "token-manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    return materialise(dealt.mapInArrow(tidied(run), "part long, piece int, path string, docs long, ids long"), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Reads token files back: one row (doc_id, start, n_tokens, ids_crc32, ids binary) for each document. start counts the
-    ids of all documents before it, over all files. The manifest has one row a file; it alone is brought to the driver."""
-    files = manifest.orderBy("part", "piece").collect()
-    if not files:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-    before, at = {}, 0
-    for f in files:
-        before[f["path"].rsplit("/", 1)[1]] = at
-        at += f["ids"]
-    offsets = spark.createDataFrame(list(before.items()), "name string, before long")
-    raw = spark.read.format("binaryFile").load([f["path"] for f in files]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    named = raw.join(F.broadcast(offsets), "name").select("before", "content")  # as many rows as files
+    ids of all documents before it, over all files."""
+    # sums over files in two steps: within a part, then over the parts, of which there are as many as tasks that wrote
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    within = F.sum("ids").over(Window.partitionBy("part").orderBy("piece")) - F.col("ids")
+    files = manifest.withColumn("within", within).join(parts, "part").select("path", (F.col("base") + F.col("within")).alias("before"))
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def run(batches):
         for batch in batches:
-            for base, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                f = TokenFile(content.as_buffer())
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                f = TokenFile(_get(path))
                 starts = np.concatenate([[0], f.ends[:-1]]) if len(f.ends) else f.ends
-                for a in range(0, len(f.ends), 2000):
-                    b = min(a + 2000, len(f.ends))
+                a = 0
+                while a < len(f.ends):  # parts of about a million ids
+                    b = max(a + 1, int(np.searchsorted(f.ends, starts[a] + 1_000_000, "right")))
                     first = int(starts[a])
                     data = f.ids(first, int(f.ends[b - 1])).astype("<u4").tobytes()
-                    own = [data[4 * (int(s) - first) : 4 * (int(e) - first)] for s, e in zip(starts[a:b], f.ends[a:b])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if x == NO_ID else x for x in f.doc_ids[a:b].tolist()], pa.int64()), pa.array(starts[a:b] + base, pa.int64()), pa.array([len(x) // 4 for x in own], pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
-
-    return named.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                    cut = (4 * (np.concatenate([starts[a:b], f.ends[b - 1 : b]]) - first)).tolist()
+                    own = [data[s:e] for s, e in zip(cut, cut[1:])]
+                    ids = [None if x == NO_ID else x for x in f.doc_ids[a:b].tolist()]
+                    cols = [pa.array(ids, pa.int64()), pa.array(starts[a:b] + base, pa.int64()), pa.array(f.ends[a:b] - starts[a:b], pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    a = b
+
+    return files.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
