@@ -5,7 +5,8 @@ first of them shorter. Which pieces share a sequence depends on their lengths al
 at most ``size`` lengths, however many documents there are: best fit decreasing gives an incumbent; then branch and bound
 fills the sequence of the largest piece left, over undominated completions in order of waste, pruned where the sequences used
 and the least number for the rest reach the incumbent. A completion is used as often as its counts allow, so that each step
-empties a length and a solution has at most ``size`` patterns. Pieces take their places by their rank among equal lengths,
+empties a length and a solution has at most ``size`` patterns. What bounds the search is stated at complete_bins(). Pieces of equal length are
+alike: they take their places by their rank among equal lengths,
 which is dealt out over buckets of rows. Repeated rows are documents of their own; an empty table gives no rows; other columns are
 dropped.
 """
@@ -13,6 +14,7 @@ dropped.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, slices, table, tidied
 from .tokens import coder
 
 Pattern = tuple[tuple[int, ...], int]
@@ -79,58 +81,85 @@ def least_bins(counts: np.ndarray, size: int) -> int:
     return best
 
 
-def completions(counts: np.ndarray, room: int, width: int, nodes: int = 400) -> list[tuple[int, ...]]:
-    """Up to width undominated fillings of the room from the counts, least waste first, larger pieces first among equals.
-    A filling is dominated if it leaves out a piece that still fits, or if one free piece fits in place of some of it at least as
-    well; the walk tries larger pieces first and stops when enough perfect ones are known."""
-    have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    sizes = have[::-1].tolist()
-    index = {s: i for i, s in enumerate(sizes)}
+def undominated(own: tuple[int, ...], waste: int, free: np.ndarray) -> bool:
+    """Whether no free piece fits into the waste or, in place of up to three pieces of the filling, holds at least what they hold (Martello and
+    Toth's dominance). free: ascending sizes of which a piece is left."""
+
+    def any_in(low: int, high: int) -> bool:
+        k = bisect.bisect_left(free, low)
+        return k < len(free) and free[k] <= high
+
+    if any_in(1, waste):
+        return False
+    for n in (1, 2, 3):
+        for some in set(itertools.combinations(own, n)):
+            total = sum(some)
+            if any_in(total + (n == 1), total + waste):
+                return False
+    return True
+
+
+def completions(counts: np.ndarray, room: int, width: int | None, nodes: int | None = 400) -> list[tuple[int, ...]]:
+    """Undominated fillings of the room from the counts, least waste first, larger pieces first among equals; at most width of them. Of
+    all ways to end a filling with one more piece only the largest that fits is undominated, so the walk branches on the pieces
+    before the last alone. nodes bounds it (None: all fillings); the first way down is best fit, so there is always one."""
+    sizes = np.flatnonzero(counts[: room + 1])
+    sizes = sizes[sizes > 0].tolist()
     found: dict[tuple[int, ...], int] = {}
-    left = [nodes]
+    left = [nodes if nodes is not None else -1]
+    perfect = [0]
 
-    def walk(at: int, room: int, own: tuple[int, ...]) -> None:
-        if left[0] <= 0 or sum(1 for w in found.values() if w == 0) >= width:
+    def largest(limit: int, own: tuple[int, ...]) -> int:
+        k = bisect.bisect_right(sizes, limit) - 1
+        while k >= 0 and counts[sizes[k]] <= own.count(sizes[k]):
+            k -= 1
+        return k
+
+    def walk(top: int, room: int, own: tuple[int, ...]) -> None:
+        if not left[0] or width is not None and perfect[0] >= width:
             return
         left[0] -= 1
-        if room in index and counts[room] > own.count(room) and index[room] >= at:
-            found[(*own, room)] = 0  # one piece fills it: nothing smaller can do better
+        k = largest(min(room, top), own)
+        if k < 0:
+            if own not in found:
+                free = [s for s in sizes if counts[s] > own.count(s)]
+                if undominated(own, room, free):
+                    found[own] = room
+                    perfect[0] += room == 0
             return
-        k = max(at, len(sizes) - bisect.bisect_right(sizes[::-1], room))
-        any_fit = False
-        for i in range(k, min(len(sizes), k + 12)):
-            s = sizes[i]
-            if counts[s] > own.count(s):
-                any_fit = True
-                walk(i, room - s, (*own, s))
-        if not any_fit:
-            found[own] = room
-
-    walk(0, room, ())
-    if not found:
-        walk_room, own = room, ()
-        for s in sizes:
-            while s <= walk_room and counts[s] > own.count(s):
-                own, walk_room = (*own, s), walk_room - s
-        found[own] = walk_room
+        walk(sizes[k], room - sizes[k], (*own, sizes[k]))
+        for j in range(min(k, bisect.bisect_right(sizes, room - sizes[0])) - 1, -1, -1):
+            s = sizes[j]
+            if not left[0]:
+                break
+            if counts[s] > own.count(s) and largest(min(room - s, s), (*own, s)) >= 0:
+                walk(s, room - s, (*own, s))
+
+    walk(room, room, ())
+    if not found:  # the walk ended early on dominated fillings
+        own, rest = (), room
+        while (k := largest(rest, own)) >= 0:
+            own, rest = (*own, sizes[k]), rest - sizes[k]
+        found[own] = rest
     return sorted(found, key=lambda p: (found[p], [-x for x in p]))[:width]
 
 
-def complete_bins(counts, size: int, width: int = 3, nodes: int = 6000) -> list[Pattern]:
+def complete_bins(counts, size: int, width: int | None = 3, nodes: int | None = 6000, effort: int | None = 400, depth: int | None = 200) -> list[Pattern]:
     """Patterns (lengths, times) that hold counts[length] pieces of each length, in as few sequences as the search finds.
-    nodes bounds the search; whatever it is, every piece has a place."""
+
+    The search is bounded by documented parameters: width fillings a step (one where the stack holds depth or more), effort nodes for the
+    fillings of a step, nodes steps in all. Whatever they are, every piece has a place and the result is no worse than best fit. With
+    None for all four the search is exhaustive over undominated fillings, used one at a time, and the result is optimal."""
     counts = np.asarray(counts, dtype=np.int64)
     full = int(counts[size])
     counts = counts.copy()
     counts[size] = 0
     incumbent = best_fit(counts, size)
     most, goal = sum(n for _, n in incumbent), least_bins(counts, size)
+    left = -1 if nodes is None else nodes
     stack: list[tuple[np.ndarray, int, tuple | None]] = [(counts, 0, None)]
-    while stack and nodes > 0 and most > goal:
-        nodes -= 1
+    while stack and left and most > goal:
+        left -= 1
         now, used, chain = stack.pop()
         if used + least_bins(now, size) >= most:
             continue
@@ -143,12 +172,12 @@ def complete_bins(counts, size: int, width: int = 3, nodes: int = 6000) -> list[
         largest = int(np.flatnonzero(now)[-1])
         rest = now.copy()
         rest[largest] -= 1
-        for filling in reversed(completions(rest, size - largest, width if len(stack) < 200 else 1)):
+        for filling in reversed(completions(rest, size - largest, width if depth is None or len(stack) < depth else 1, effort)):
             pattern = (largest, *filling)
             uses = defaultdict(int)
             for s in pattern:
                 uses[s] += 1
-            times = min(int(now[s]) // k for s, k in uses.items())
+            times = min(int(now[s]) // k for s, k in uses.items()) if width is not None else 1
             after = now.copy()
             for s, k in uses.items():
                 after[s] -= times * k
@@ -184,15 +213,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFr
 
     def run(batches):
         code, end = coder(tokenizer), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for b in (b for batch in batches for b in slices(batch, 1)):
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = code.encode(text) + end
+            for i, ids in zip(b.column(0).to_pylist(), code.encode_all(b.column(1).to_pylist())):
+                ids += end
                 rows += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -> DataFrame:
