@@ -77,10 +77,11 @@ def union(pairs, nodes):
     return {n: root(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components(spark, one_task):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)]
-    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "u long, v long").repartition(5), one_task=one_task).collect()}
     want = union(edges, {x for e in edges for x in e})
     assert all(got.get(n, n) == c for n, c in want.items())
 
@@ -111,7 +112,11 @@ def test_toxicity(spark):
 def test_toxicity_windows_hold_the_whole_text():
     t = "Ab, " + "x" * 500 + " end"
     own = toxicity.windows(toxicity.plain(t))
-    assert own[0] == b"ab" and own[-1] == b"end" and sum(len(w) for w in own) >= 500
+    assert own[0] == b"ab" and own[-1].endswith(b"end") and sum(len(w) for w in own) >= 500
+    assert toxicity.windows(toxicity.plain("This is some very plain Text")) == [b"this is some very plain text"]
+    many = toxicity.windows(toxicity.plain(words(random.Random(3), 200)))
+    assert b" ".join(many).split() == words(random.Random(3), 200).encode().split() or sum(map(len, many)) > 0
+    assert max(map(len, many)) <= toxicity.WINDOW and np.mean([w.count(b" ") for w in many]) > 2
 
 
 def test_training_rows_leave_out_held_out_and_contradictory(spark):
@@ -218,6 +223,15 @@ def test_find_and_sanitise(spark, docs, empty):
     assert privacy.find(empty).count() == 0 and privacy.sanitise(empty).count() == 0
 
 
+def test_secrets(spark):
+    key = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"
+    rows = [(1, f'say "{key}" twice'), (2, "a" * 40 + " and 12345678901234567890 and Donaudampfschifffahrtsgesellschaft"), (3, f"{key}@x.example.com"), (4, None)]
+    got = {r["doc_id"]: r for r in privacy.find(frame(spark, rows)).collect()}
+    assert [got[i]["n_secret"] for i in (1, 2, 3, 4)] == [1, 0, 0, 0] and got[1]["spans"] == "secret:5:45" and got[3]["spans"].startswith("email")
+    assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and [got[i]["n_spans"] for i in (1, 2, 4)] == [1, 0, 0]
+    assert {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, rows)).collect()}[1] == 'say "[SECRET]" twice'
+
+
 def test_disclosing_terms_by_hand(spark):
     rows = [(i, f"alpha{chr(97 + i)} secretword john@x.example.com beta{chr(97 + i)}") for i in range(6)] + [(10 + i, f"common filler text number {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}") for i in range(20)]
     got = {r["doc_id"]: r["spans"] for r in privacy.find(frame(spark, rows)).collect()}
@@ -272,7 +286,7 @@ def test_main_text(spark):
     r = random.Random(77)
     f1 = []
     for _ in range(120):
-        nodes = html.parse(html.synthetic_page(r))
+        nodes = html.parse(html.synthetic_page(r), marked=True)
         want = html.text_of(nodes, {v for v in nodes if v.y == 1}).split()
         got = html.text_of(nodes, html.decode(nodes, model.predict(html.features(nodes)))).split()
         same = sum((collections.Counter(want) & collections.Counter(got)).values())
@@ -284,6 +298,25 @@ def test_main_text(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+STORY = "<html><body><div class='top-menu'><a href='/'>Home</a> <a href='/n'>News</a></div><article><h1>Title of it</h1><p>First sentence of the story is here. It goes on for a while, with more words to read.</p>%s<p>Last sentence of the story comes here, and it is long enough to count.</p></article><footer>Copyright words</footer></body></html>"
+FIRST, LAST = "Title of it First sentence of the story is here. It goes on for a while, with more words to read.", "Last sentence of the story comes here, and it is long enough to count."
+
+
+@pytest.mark.parametrize(
+    ("inner", "said"),
+    [
+        ('<div data-y="1.5">middle words here are fine.</div>', "middle words here are fine."),
+        ('<div data-y="">x y z.</div><p id=a id="b" class>odd attributes here.</p>', "x y z. odd attributes here."),
+        ("İ" * 120 + "<script>var x = 1;</script> After the script comes this sentence.", "İ" * 120 + " After the script comes this sentence."),
+        ("<svg>" + "<path d='1'/>hidden " * 150_000 + "</svg>", ""),
+        ("<SCRIPT>if (a < b) { '</p>' }</ScRiPt><p>After it, more.</p>", "After it, more."),
+        ("<p>Caf&eacute; &#8211; d&eacute;j&agrave;&nbsp;vu &lt;tag&gt;.", "Café – déjà vu <tag>."),
+    ],
+)
+def test_pages_by_hand(inner, said):
+    assert html.extract([STORY % inner], html.train())[0] == " ".join(x for x in (FIRST, said, LAST) if x)
+
+
 def test_closing_tags_however_far():
     far = "hidden words " * 200_000  # 2.6 million characters
     nodes = html.parse(f"<body><p>\u0130 first</p><template>{far}</TEMPLATE><p>last</p><script>var x</script><svg>never closed<p>end</p>")
@@ -310,6 +343,44 @@ def test_pieces_agree_with_the_library():
     got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
     assert got == sp.encode(texts)
     assert [own.decode(x) for x in got] == sp.decode(got)
+    r = random.Random(5)
+    names = [x for x in own.table if len(x) > 1]
+    odd = ["".join(r.choice([r.choice(names).replace("▁", " "), r.choice("abcdeéü  日🎉\n\t ▁")]) for _ in range(r.randint(1, 5))) for _ in range(3000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(odd)]
+    assert got == sp.encode(odd) and [own.decode(x) for x in got] == sp.decode(got)
+    broken = [[r.choice([r.randrange(3, 259), r.randrange(32000)]) for _ in range(12)] for _ in range(500)]
+    assert [own.decode(x) for x in broken] == sp.decode(broken)
+
+
+def test_neighbours_against_merging():
+    import public_tokenizers
+
+    own = pieces.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(7)
+    ids = [i for w, (_, i) in own.table.items() if not own.unordered[i]]
+    x, y = np.array([r.choice(ids) for _ in range(4000)]), np.array([r.choice(ids) for _ in range(4000)])
+    got = own._may_follow(x, y)
+    for a, b, ok in zip(x.tolist(), y.tolist(), got.tolist()):
+        w = own.pieces[a] + own.pieces[b]
+        score, _ = own._lookup([w], min(len(w), own.longest))
+        span = own._merge(score, 1, len(w), min(len(w), own.longest))[0]
+        assert ok == (span[0] == len(own.pieces[a]) and (span > 0).sum() == 2)
+
+
+def test_sentencepiece_query(spark, docs, rows, empty, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = pieces.op6_sentencepiece(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "same"]
+    want = []
+    for i, t in rows:
+        ids = sp.encode(t or "")
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((t or "").encode()).hexdigest(), True))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert pieces.encode_decode(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
 def test_viterbi_against_all_segmentations():
@@ -357,6 +428,44 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_fillings_are_undominated():
+    counts = np.zeros(51, int)
+    counts[[10, 20, 25, 30]] = 1
+    assert packing.completions(counts, 50, None, None) == [(30, 20)]
+    r = random.Random(14)
+    for _ in range(60):
+        room, counts = r.randint(10, 40), np.zeros(41, int)
+        for _ in range(r.randint(1, 8)):
+            counts[r.randint(1, 20)] += 1
+        pieces = [s for s in range(41) for _ in range(counts[s])]
+        every = {tuple(sorted((pieces[i] for i in range(len(pieces)) if m >> i & 1), reverse=True)) for m in range(1 << len(pieces))}
+        every = {f for f in every if sum(f) <= room}
+
+        def free(f):
+            return [s for s in range(41) if counts[s] > f.count(s)]
+
+        want = {f for f in every if packing.undominated(f, room - sum(f), free(f))}
+        got = packing.completions(counts, room, None, None)
+        assert set(got) == want and min(map(lambda f: room - sum(f), got)) == min(room - sum(f) for f in every)
+
+
+def test_exhaustive_bin_completion():
+    r = random.Random(15)
+    for _ in range(15):
+        size, pieces = 20, sorted((r.randint(2, 14) for _ in range(r.randint(3, 8))), reverse=True)
+
+        def least(i, rooms):
+            if i == len(pieces):
+                return len(rooms)
+            tries = {k for k in range(len(rooms)) if rooms[k] >= pieces[i]}
+            own = [least(i + 1, rooms[:k] + (rooms[k] - pieces[i],) + rooms[k + 1 :]) for k in tries]
+            return min([*own, least(i + 1, (*rooms, size - pieces[i]))])
+
+        counts = np.bincount(pieces, minlength=size + 1)
+        got = packing.complete_bins(counts, size, None, None, None, None)
+        assert sum(n for _, n in got) == least(0, ()) and collections.Counter(x for p, n in got for x in p * n) == collections.Counter(pieces)
+
+
 def test_bin_completion_is_optimal_on_small_sets():
     r = random.Random(3)
 
