@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of 400 bytes or more that occur twice go; the documents stay."""
+    """Passages of 400 bytes or more, or of over 50 words, that occur twice go; the documents stay."""
     return _sized(repeats.remove(_columns(docs)))
 
 

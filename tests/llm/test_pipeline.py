@@ -58,6 +58,15 @@ def test_stages(spark, folder):
     assert np.mean([sum(b for _, b in v) for v in ends.values()]) > 0.8 * corpus_pipeline.SIZE
 
 
+def test_short_passages_of_many_words_go(spark, folder):
+    r = random.Random(8)
+    passage = " ".join("".join(r.choice("abcdef") for _ in range(3)) for _ in range(55))
+    rows = [(k, f"{words(r, 50)} {passage} {words(r, 50)}") for k in range(3)] + [(7, words(r, 90))]
+    left = {x["doc_id"]: x for x in corpus_pipeline.drop_repeats(spark, frame(spark, rows), folder).collect()}
+    assert len(passage) < 400 and {i: x["text"] for i, x in left.items()} == {i: t.replace(passage, "") for i, t in rows}
+    assert all(x["n_chars"] == len(x["text"]) for x in left.values())
+
+
 def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
