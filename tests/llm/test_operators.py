@@ -572,6 +572,57 @@ def test_repeats_of_edges_and_tables(spark, empty):
     assert {x["doc_id"]: x["text"] for x in kept}[4] == "clean" and len(kept) == 4 and kept[0]["key"] == "k"
 
 
+def brute_passages(rows, n):
+    count = collections.Counter()
+    found = [(i, [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]) for i, t in rows]
+    for _, w in found:
+        count.update(tuple(m[0] for m in w[k : k + n]) for k in range(len(w) - n + 1))
+    out = []
+    for i, w in found:
+        own = []
+        for k in range(len(w) - n + 1):
+            if count[tuple(m[0] for m in w[k : k + n])] > 1:
+                if own and k <= own[-1][1]:
+                    own[-1][1] = k + n
+                else:
+                    own.append([k, k + n])
+        out.append((i, len(own), ",".join(f"{w[a].start()}:{w[b - 1].end()}" for a, b in own)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_passages_of_words(spark, monkeypatch, docs, rows, group):
+    monkeypatch.setattr(repeats, "WORDS", repeats.WORDS._replace(gram=4))
+    assert sorted((r[0], *r[-2:]) for r in repeats.spans(docs, 100, group, 12).collect()) == brute_passages(rows, 12)
+    r = random.Random(5)
+    p = ["".join(r.choice("abc") for _ in range(r.randint(1, 2))) for _ in range(60)]
+    near = []
+    for i in range(60):  # short words in other surroundings, white space and lengths
+        own = p[r.randint(0, 20) : r.randint(30, 60)]
+        near.append((i, words(r, r.randint(0, 9)) + "".join(r.choice([" ", "\n", "\t ", "  "]) + w for w in own) + r.choice([" ", "\r\n"]) + words(r, 5)))
+    assert sorted((r[0], *r[-2:]) for r in repeats.spans(frame(spark, near), 400, group, 15).collect()) == brute_passages(near, 15)
+
+
+def test_passages_of_over_50_words_in_few_bytes(spark):
+    r = random.Random(9)
+    p = ["".join(r.choice("abcdef") for _ in range(3)) for _ in range(51)]
+    rows = [(1, f"{words(r, 60)} {' '.join(p)} {words(r, 20)}"), (2, f"{words(r, 9)} {chr(10).join(p)}"), (3, f"{words(r, 60)} {' '.join(p[:50])} end"), (4, " ".join(p[1:])), (5, None)]
+    assert len(" ".join(p)) < 400
+    own = {x["doc_id"]: x for x in repeats.spans(frame(spark, rows)).collect()}
+    assert {i: (x["n_removed"], x["n_passages"]) for i, x in own.items()} == {1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+    kept = {x["doc_id"]: x["text"] for x in repeats.remove(frame(spark, rows)).collect()}
+    assert kept == {i: t if i > 2 else t.replace((" " if i == 1 else "\n").join(p), "") for i, t in rows}
+
+
+def test_words_of_long_texts(monkeypatch):
+    data = ("x" * 900 + " é\n\x0b y  " + words(random.Random(4), 300)).encode()
+    whole = repeats.word_hashes(data)
+    monkeypatch.setattr(repeats, "STEP", 64)
+    own = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    assert whole.tolist() == repeats.word_hashes(data).tolist() and len(set(whole.tolist())) == len(set(own)) and len(whole) == len(own)
+    assert [data[a:b] for a, b in zip(*repeats.word_bounds(data))] == own and not len(repeats.word_hashes(b" \n"))
+
+
 def test_chunks_of_long_texts_do_not_matter(monkeypatch, docs, rows):
     monkeypatch.setattr(repeats, "STEP", 512)
     data = corpus()[0][1].encode() if corpus()[0][1] else b"x" * 900
